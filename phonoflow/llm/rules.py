@@ -68,7 +68,7 @@ def estimate(texts: DataFrame, rules: list[Rule] = RULES, sample_rows: int = SAM
     total = texts.count()
     if not total:
         return [(r, 0.0, 0.0) for r in rules]
-    sample = cut_lineage(texts.sample(min(1.0, sample_rows / total), seed=seed).coalesce(2))
+    sample = cut_lineage(texts.sample(min(1.0, sample_rows / total), seed=seed).repartition(4))
 
     def seconds(f: Callable[[Column], Column]) -> float:
         began = time.perf_counter()
