@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from phonoflow.llm import chat, classifier, neighbours, packing, rules, secret_scan, simhash, url_filter
+from phonoflow.llm import chat, classifier, neighbours, packing, pieces, rules, secret_scan, simhash, site_tree, url_filter
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -13,6 +13,8 @@ QUERIES = {
     "op6_quality_classifier": classifier.op6_quality_classifier,
     "op7_quality_rules": rules.op7_quality_rules,
     "op8_secret_scans": secret_scan.op8_secret_scans,
+    "op9_html_extraction": site_tree.op9_html_extraction,
+    "op10_sentencepiece": pieces.op10_sentencepiece,
 }
 ORACLES = {
     "op2_url_filters": url_filter.ORACLE,
