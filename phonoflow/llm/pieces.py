@@ -152,14 +152,17 @@ def _sampled(d: np.ndarray, begin: np.ndarray, inverse: np.ndarray, noise: np.nd
     chunk = np.repeat(np.arange(n_chunks), length)[s]
     first = begin + np.arange(n_chunks)  # a chunk of n bytes has n + 1 nodes
     s, e = s + chunk, e + chunk
+    order = np.argsort(e * 1024 + (e - s))  # by end, then length: no two arcs share both
+    s, e, piece, chunk = s[order], e[order], piece[order], chunk[order]
     weight = alpha * voc.weight[piece]
     # forward filtering, by the distance of an arc's end from its chunk's start
     depth = e - first[chunk]
-    order = np.lexsort((e, depth))
+    deepest = int(length.max())
+    order = np.argsort(depth.astype(np.uint16 if deepest < 1 << 16 else np.int64), kind="stable")
     so, eo, wo = s[order], e[order], weight[order]
     total = np.full(len(d) + n_chunks, -np.inf)
     total[first] = 0.0
-    cut = np.searchsorted(depth[order], np.arange(1, int(length.max()) + 2))
+    cut = np.searchsorted(depth[order], np.arange(1, deepest + 2))
     for a, b in zip(cut[:-1], cut[1:], strict=True):
         if a == b:
             continue
@@ -173,10 +176,9 @@ def _sampled(d: np.ndarray, begin: np.ndarray, inverse: np.ndarray, noise: np.nd
             total[ends[g]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, size)), g))
     # each node's arcs by cumulative share, node number + share as one ascending key
     reach = np.isfinite(total[s]) & np.isfinite(total[e])
-    s, e, piece, weight = s[reach], e[reach], piece[reach], weight[reach]
-    order = np.lexsort((s, e))
-    s, e, piece = s[order], e[order], piece[order]
-    share = np.exp(total[s] + weight[order] - total[e])
+    if not reach.all():
+        s, e, piece, weight = s[reach], e[reach], piece[reach], weight[reach]
+    share = np.exp(total[s] + weight - total[e])
     g = np.flatnonzero(np.r_[True, e[1:] != e[:-1]])
     size = np.diff(np.r_[g, len(e)])
     run = np.cumsum(share)
