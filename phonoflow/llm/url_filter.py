@@ -34,7 +34,8 @@ DEFAULT_RULES = [
     ("tionsh.example.net/es/", "block"), ("tionsh.example.net/es/2", "allow"), ("m.example.org", "block"), ("example.org", "allow"),
     ("net", "allow"), ("tracker.example.com", "block"), ("tionble.example.com", "block"), ("blog.tionble.example.com/en/", "allow"),
 ]
-_SAMPLE_PER_PARTITION = 200
+#: keys that reach the driver for the bounds
+_SAMPLE_PER_PARTITION, _SAMPLE_AT_MOST = 200, 500_000
 
 
 def url_key(url: Column) -> Column:
@@ -57,7 +58,7 @@ def _bounds(keys: DataFrame, parts: int) -> list[str]:
     total = keys.count()
     if not total or parts < 2:
         return []
-    got = sorted(r[0] for r in keys.select("key").where("key is not null").sample(min(1.0, parts * _SAMPLE_PER_PARTITION / total), seed=5).collect())
+    got = sorted(r[0] for r in keys.select("key").where("key is not null").sample(min(1.0, min(parts * _SAMPLE_PER_PARTITION, _SAMPLE_AT_MOST) / total), seed=5).collect())
     return sorted({got[len(got) * i // parts] for i in range(1, parts)}) if got else []
 
 
@@ -108,7 +109,7 @@ def accepted(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """The rows of ``pages`` that aren't blocked; columns as they were."""
     urls = pages.select(pages["url"].alias("_url")).where("_url is not null").distinct().select(F.xxhash64("_url").alias("id"), "_url")
     out = decided(urls.select("id", url_key(F.col("_url")).alias("key")), rules).where("action = 'block'").select(F.col("id").alias("_blocked"))
-    return pages.join(out, F.xxhash64(pages["url"]) == F.col("_blocked"), "left_anti")
+    return pages.join(out, F.xxhash64(pages["url"]) == out["_blocked"], "left_anti")
 
 
 def default_rules(spark: SparkSession) -> DataFrame:
