@@ -71,12 +71,16 @@ def center_phoneme(tri: Column) -> Column:
     return F.when(tri.rlike(r"^[^-]*-.*\+[^+]*$"), inner).otherwise(tri)
 
 
+def phoneme_code(phonemes: Column) -> Column:
+    """A sequence as a string, a character for each phoneme: a private one for those of the inventory, else its first."""
+    table = F.create_map(*[x for i, p in enumerate(PHONEMES) for x in (F.lit(p), F.lit(chr(0xE000 + i)))])
+    return F.array_join(F.transform(phonemes, lambda p: F.coalesce(F.try_element_at(table, p), F.substring(p, 1, 1))), "")
+
+
 def phoneme_edit_distance(a: Column, b: Column, threshold: int | None = None) -> Column:
-    """X11: Levenshtein distance of phoneme arrays, each phoneme as one private character; -1 beyond ``threshold``."""
-    code = {p: chr(0xE000 + i) for i, p in enumerate(PHONEMES)}
-    table = F.create_map(*[x for k, v in code.items() for x in (F.lit(k), F.lit(v))])
-    spell = lambda x: F.array_join(F.transform(x, lambda p: F.coalesce(table[p], F.substring(p, 1, 1))), "")
-    return F.levenshtein(spell(a), spell(b), threshold) if threshold is not None else F.levenshtein(spell(a), spell(b))
+    """X11: Levenshtein distance of phoneme arrays; -1 beyond ``threshold``."""
+    pair = phoneme_code(a), phoneme_code(b)
+    return F.levenshtein(*pair, threshold) if threshold is not None else F.levenshtein(*pair)
 
 
 def parse_phonemes(s: Column) -> Column:

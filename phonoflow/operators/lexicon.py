@@ -95,17 +95,32 @@ def regenerated(dictionary: DataFrame) -> DataFrame:
     return new.unionByName(sil)
 
 
+def _deletions(code: Column, most: int) -> Column:
+    """The string and what is left of it after up to ``most`` deletions, each once."""
+    out = F.array(code)
+    for _ in range(most):
+        shorter = lambda s: F.transform(F.sequence(F.lit(1), F.char_length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.char_length(s))))
+        out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, lambda s: F.when(F.char_length(s) > 0, shorter(s)).otherwise(F.array().cast("array<string>"))))))
+    return out
+
+
 def too_close_pairs(a: DataFrame, b: DataFrame, distance: int) -> DataFrame:
-    """Pairs (word_a, word_b, dist) of entries nearer than ``distance``.
+    """Pairs (word_a, word_b, dist) of entries nearer than ``distance``. Exact.
 
-    Lengths of near sequences differ by less than ``distance``, so ``a`` is spread over the lengths that can match and
-    joined on the length: an equi-join in place of a nested loop.
+    Two sequences within d edits share what is left of them after at most d deletions each. So for d up to 2 both sides
+    are spread over those and joined on them, an equi-join that grows with the entries; beyond that on lengths that can match.
     """
-    code = lambda d, s: d.select(F.col("word").alias(f"word_{s}"), F.col("phonemes").alias(f"ph_{s}"), F.size("phonemes").alias(f"n_{s}"))
-    left = code(a, "a").withColumn("n", F.explode(F.sequence(F.col("n_a") - (distance - 1), F.col("n_a") + (distance - 1))))
-    right = code(b, "b").withColumn("n", F.col("n_b"))
-    d = P.phoneme_edit_distance(F.col("ph_a"), F.col("ph_b"), distance)
-    return left.join(right, "n").withColumn("dist", d).where((F.col("dist") >= 0) & (F.col("dist") < distance)).select("word_a", "word_b", "dist")
+    most = distance - 1
+    spell = lambda d, s: d.select(F.col("word").alias(f"word_{s}"), P.phoneme_code(F.col("phonemes")).alias(f"code_{s}"))
+    left, right = spell(a, "a"), spell(b, "b")
+    if 0 <= most <= 2:
+        spread = lambda d, s: d.withColumn("key", F.explode(_deletions(F.col(f"code_{s}"), most)))
+        met = spread(left, "a").join(spread(right, "b"), "key").drop("key").distinct()
+    else:
+        length = F.char_length
+        met = left.withColumn("n", F.explode(F.sequence(length("code_a") - most, length("code_a") + most))).join(right.withColumn("n", length("code_b")), "n")
+    dist = F.levenshtein("code_a", "code_b", max(most, 0))
+    return met.withColumn("dist", dist).where((F.col("dist") >= 0) & (F.col("dist") < distance)).select("word_a", "word_b", "dist")
 
 
 def _levenshtein_below(a: tuple, b: tuple, k: int) -> bool:
