@@ -3,10 +3,10 @@
 The DOMs of one host's pages are merged. An element node is known by its parent, the parent's style (the sequence of its
 children's labels, repeats merged) and its own label (tag, class, id). Over the m pages that have an element:
 presentation importance is the entropy to base m of its styles; content importance of a text node is one less the mean
-over its distinct texts of log(n)/log(m), n being the pages that have the text there. Composite importance is
-(1 - g^l) * presentation + g^l * mean of the children's, l being the number of styles. An element is noise when it and all
-below it are of low composite importance; such branches are removed from every page, and what is left of the body is the
-page's text.
+over its distinct texts of log(n)/log(m), n being the pages that have the text there; texts without any letter or digit
+don't count. Composite importance is (1 - g^l) * presentation + g^l * mean of the children's, l being the number of styles.
+An element is noise when it and all below it are of low composite importance; such branches are removed from every page,
+but for inline ones beside a text that stays, which are words of its sentence. What is left of the body is the page's text.
 
 Plan: one pass emits (host, element, style or text hash, pages) rows, pre-added by batch; two aggregations bring them to
 a row per element that at least two pages have, and a host's tree is folded in one group of those. A second pass prunes.
@@ -44,30 +44,33 @@ _SCOPE = frozenset("ul ol table dl select div article section body td th".split(
 _INLINE = frozenset("a abbr b bdi bdo cite code data em font i kbd mark q s small span strong sub sup time tt u var".split())
 _HIDDEN = frozenset(("head", "title"))
 _SPACE = re.compile(r"\s+")
+_LETTER = re.compile(r"[^\W_]")
 
 
 class Node:
-    """An element (label, children) or a text (label "#text")."""
+    """An element (label, children) or a text (label "#text"); gap tells of white space alone in front of it."""
 
-    __slots__ = ("label", "children", "text")
+    __slots__ = ("label", "children", "text", "gap")
 
-    def __init__(self, label: str, text: str | None = None) -> None:
-        self.label, self.text, self.children = label, text, []
+    def __init__(self, label: str, text: str | None = None, gap: bool = False) -> None:
+        self.label, self.text, self.children, self.gap = label, text, [], gap
 
 
 def parse(source: str) -> Node:
     """The DOM of a page; scripts, styles and comments aren't in it."""
     root = Node("#root")
     stack, tags = [root], ["#root"]
-    at = 0
+    at, gap = 0, False
 
-    def text(s: str) -> None:
-        if s and not s.isspace():
-            stack[-1].children.append(Node("#text", entities.unescape(s)))
+    def text(s: str) -> bool:
+        if s.isspace():
+            return True
+        stack[-1].children.append(Node("#text", entities.unescape(s), gap))
+        return False
 
     for m in _TOKEN.finditer(source):
         if m.start() > at:
-            text(source[at : m.start()])
+            gap = text(source[at : m.start()])
         at = m.end()
         tag = m.group(3)
         if tag is None:
@@ -90,7 +93,7 @@ def parse(source: str) -> Node:
         if attrs and "=" in attrs:
             named = sorted((a[0].lower(), a[1] or a[2] or a[3]) for a in _ATTRS.findall(attrs))
             label += "".join(f" {k}={v}" for k, v in named)
-        node = Node(label)
+        node, gap = Node(label, None, gap), False
         stack[-1].children.append(node)
         if tag not in _VOID and not attrs.endswith("/"):
             stack.append(node)
@@ -132,7 +135,8 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for key, node, style, keys in walk(parse(source)):
                     mine.add((host, key, 0, 0))
                     if node.text is not None:
-                        mine.add((host, key, 2, _hash(_SPACE.sub(" ", node.text).strip())))
+                        if _LETTER.search(node.text):
+                            mine.add((host, key, 2, _hash(_SPACE.sub(" ", node.text).strip())))
                     else:
                         mine.add((host, key, 1, style))
                         children[(host, key, 1, style)] = keys
@@ -163,7 +167,7 @@ def composite_importance(elements: dict[int, tuple[int, list[tuple[int, list[int
                 continue
             total = sum(n for n, _ in styles)
             if not total:
-                done[e] = 1.0
+                done[e] = 0.0  # texts without a letter
                 continue
             node = -sum(n / total * math.log(n / total) for n, _ in styles) / math.log(pages)
             inner = [(n, kids) for n, kids in styles if kids]
@@ -234,12 +238,14 @@ def clean_text(source: str, noise: set[int] | frozenset[int]) -> str:
         if key in noise:
             gone.add(id(node))
     lines, line = [], []
-    todo: list[tuple[Node, bool]] = [(root, False)]
+    todo: list[tuple[Node, bool, bool]] = [(root, False, False)]
     while todo:
-        node, closing = todo.pop()
+        node, closing, stays = todo.pop()
         tag = node.label.split(" ", 1)[0]
-        if id(node) not in keys or id(node) in gone:
+        if id(node) not in keys or id(node) in gone and not stays:
             continue
+        if node.gap and not closing:
+            line.append(" ")
         if node.text is not None:
             line.append(node.text)
             continue
@@ -247,8 +253,9 @@ def clean_text(source: str, noise: set[int] | frozenset[int]) -> str:
             lines.append("".join(line))
             line = []
         if not closing:
-            todo.append((node, True))
-            todo += [(c, False) for c in reversed(node.children)]
+            todo.append((node, True, stays))
+            sentence = stays or any(c.text is not None and id(c) not in gone for c in node.children)
+            todo += [(c, False, stays or sentence and c.label.split(" ", 1)[0] in _INLINE) for c in reversed(node.children)]
     lines.append("".join(line))
     return "\n".join(x for x in (_SPACE.sub(" ", s).strip() for s in lines) if x)
 

@@ -100,9 +100,9 @@ def decided(keys: DataFrame, rules: DataFrame, parts: int | None = None) -> Data
 
 
 def decisions(pages: DataFrame, rules: DataFrame, parts: int | None = None) -> DataFrame:
-    """(page_id, rule_id, keep) of every row of ``pages``."""
+    """(page_id, rule_id, keep) of every row of ``pages``; rule_id is -1 where no rule matches."""
     out = decided(pages.select(pages["page_id"].alias("id"), url_key(pages["url"]).alias("key")), rules, parts)
-    return out.select(F.col("id").alias("page_id"), "rule_id", (F.coalesce("action", F.lit("allow")) != "block").alias("keep"))
+    return out.select(F.col("id").alias("page_id"), F.coalesce("rule_id", F.lit(-1)).alias("rule_id"), (F.coalesce("action", F.lit("allow")) != "block").alias("keep"))
 
 
 def accepted(pages: DataFrame, rules: DataFrame) -> DataFrame:
@@ -133,5 +133,5 @@ rules(rule_id, pattern, action) AS (VALUES {_VALUES}),
 p AS (SELECT CAST(rule_id AS BIGINT) AS rule_id, action, {_REVERSED.format(h="regexp_extract(pattern, '^([^/]*)', 1)")} || regexp_extract(pattern, '^[^/]*(.*)$', 1) AS prefix FROM rules),
 m AS (SELECT k.page_id, k.r, p.rule_id, p.action, row_number() OVER (PARTITION BY k.r ORDER BY length(p.prefix) DESC, p.action DESC, p.rule_id) AS pick
       FROM k LEFT JOIN p ON starts_with(k.key, p.prefix))
-SELECT page_id, rule_id, coalesce(action, 'allow') <> 'block' AS keep FROM m WHERE pick = 1
+SELECT page_id, coalesce(rule_id, -1) AS rule_id, coalesce(action, 'allow') <> 'block' AS keep FROM m WHERE pick = 1
 """
