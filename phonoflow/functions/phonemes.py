@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phonoflow.functions.common import let
+
 #: The value of log(0) in scores; a sentinel that stays finite under addition.
 LOG_ZERO = -1e30
 
@@ -62,7 +64,7 @@ def triphone(left: Column, center: Column, right: Column) -> Column:
 def word_triphones(phonemes: Column) -> Column:
     """The triphones of a word, '#' at its edges."""
     edge = F.lit("#")
-    return F.transform(phonemes, lambda p, i: triphone(F.coalesce(F.get(phonemes, i - 1), edge), p, F.coalesce(F.get(phonemes, i + 1), edge)))
+    return let(phonemes, lambda s: F.transform(s, lambda p, i: triphone(F.coalesce(F.get(s, i - 1), edge), p, F.coalesce(F.get(s, i + 1), edge))))
 
 
 def center_phoneme(tri: Column) -> Column:

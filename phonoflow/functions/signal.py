@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from phonoflow.functions.common import let
+
 FACTORS = (1.0, 0.9, 0.95, 1.05, 1.1)
 KNEE_LOW, KNEE_HIGH = 100.0, 7500.0
 
@@ -29,7 +31,7 @@ def mahalanobis(x: Column, mean: Column, inv_var: Column) -> Column:
 
 def pre_emphasis(x: Column, a: float = 0.97) -> Column:
     """y0 = x0, y[n] = x[n] - a x[n-1]."""
-    return F.transform(x, lambda v, i: F.when(i == 0, v).otherwise(v - F.lit(a) * F.get(x, i - 1)))
+    return let(x, lambda s: F.transform(s, lambda v, i: F.when(i == 0, v).otherwise(v - F.lit(a) * F.get(s, i - 1))))
 
 
 def n_frames(n: Column, length: int, shift: int) -> Column:
@@ -39,8 +41,12 @@ def n_frames(n: Column, length: int, shift: int) -> Column:
 
 def frames(x: Column, length: int, shift: int) -> Column:
     """Overlapping frames; a tail that fills none is dropped."""
-    n = n_frames(F.size(x), length, shift)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.slice(x, i * shift + 1, F.lit(length)))).otherwise(F.array().cast("array<array<double>>"))
+
+    def cut(s: Column) -> Column:
+        n = n_frames(F.size(s), length, shift)
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.slice(s, i * shift + 1, F.lit(length)))).otherwise(F.array().cast("array<array<double>>"))
+
+    return let(x, cut)
 
 
 def hamming_window(n: int) -> list[float]:
@@ -72,12 +78,12 @@ def warp_frequency(f: Column, alpha: Column, low: float = 0.0, high: float = 800
 
 def log_mel(power: Column, filters: Sequence[Sequence[float]]) -> Column:
     """Log energies of the filters."""
-    return F.array(*[F.log(F.greatest(dot(power, constants(w)), F.lit(1e-30))) for w in filters])
+    return let(power, lambda p: F.array(*[F.log(F.greatest(dot(p, constants(w)), F.lit(1e-30))) for w in filters]))
 
 
 def dct(e: Column, n: int, count: int) -> Column:
     """Unnormalised DCT-II."""
-    return F.array(*[dot(e, constants([math.cos(math.pi * k * (j + 0.5) / n) for j in range(n)])) for k in range(count)])
+    return let(e, lambda v: F.array(*[dot(v, constants([math.cos(math.pi * k * (j + 0.5) / n) for j in range(n)])) for k in range(count)]))
 
 
 def lifter_weights(count: int, lifter: int = 22) -> list[float]:
@@ -92,49 +98,59 @@ def liftered(c: Column, count: int, lifter: int = 22) -> Column:
 
 def delta(rows: Column, reach: int = 2) -> Column:
     """Regression over +-reach frames of an array of frames, indices clamped at the ends."""
-    last = F.size(rows) - 1
     norm = float(2 * sum(k * k for k in range(1, reach + 1)))
 
-    def at(i: Column, k: int, d: Column) -> Column:
-        return F.get(F.get(rows, F.least(i + k, last)), d) - F.get(F.get(rows, F.greatest(i - k, F.lit(0))), d)
+    def all_of(m: Column) -> Column:
+        last = F.size(m) - 1
+
+        def one(i: Column, d: Column) -> Column:
+            at = lambda k: F.get(F.get(m, F.least(i + k, last)), d) - F.get(F.get(m, F.greatest(i - k, F.lit(0))), d)
+            total = at(1)
+            for k in range(2, reach + 1):
+                total = total + F.lit(float(k)) * at(k)
+            return total / norm
 
-    def one(i: Column, d: Column) -> Column:
-        total = at(i, 1, d)
-        for k in range(2, reach + 1):
-            total = total + F.lit(float(k)) * at(i, k, d)
-        return total / norm
+        return F.transform(m, lambda row, i: F.transform(row, lambda _, d: one(i, d)))
 
-    return F.transform(rows, lambda row, i: F.transform(row, lambda _, d: one(i, d)))
+    return let(rows, all_of)
 
 
 def delta_series(x: Column, reach: int = 2) -> Column:
     """D14 of a plain series."""
-    last = F.size(x) - 1
     norm = float(2 * sum(k * k for k in range(1, reach + 1)))
 
-    def one(i: Column) -> Column:
-        total = None
-        for k in range(1, reach + 1):
-            term = F.lit(float(k)) * (F.get(x, F.least(i + k, last)) - F.get(x, F.greatest(i - k, F.lit(0))))
-            total = term if total is None else total + term
-        return total / norm
+    def all_of(s: Column) -> Column:
+        last = F.size(s) - 1
 
-    return F.transform(x, lambda _, i: one(i))
+        def one(i: Column) -> Column:
+            total = None
+            for k in range(1, reach + 1):
+                term = F.lit(float(k)) * (F.get(s, F.least(i + k, last)) - F.get(s, F.greatest(i - k, F.lit(0))))
+                total = term if total is None else total + term
+            return total / norm
+
+        return F.transform(s, lambda _, i: one(i))
+
+    return let(x, all_of)
 
 
 def speed_perturbed(x: Column, factor: Column) -> Column:
     """Linear interpolation at every ``factor`` samples; null for an empty signal or factor <= 0."""
-    n = F.size(x)
-    count = F.floor(n / factor).cast("int")
 
-    def sample(i: Column) -> Column:
-        place = i.cast("double") * factor
-        k = F.floor(place).cast("int")
-        frac = place - k
-        return F.when(k + 1 < n, F.get(x, k) * (1.0 - frac) + F.get(x, k + 1) * frac).otherwise(F.get(x, F.least(k, n - 1)))
+    def made(d: Column) -> Column:
+        n = F.size(d.x)
+        count = F.floor(n / d.by).cast("int")
+
+        def sample(i: Column) -> Column:
+            place = i.cast("double") * d.by
+            k = F.floor(place).cast("int")
+            frac = place - k
+            return F.when(k + 1 < n, F.get(d.x, k) * (1.0 - frac) + F.get(d.x, k + 1) * frac).otherwise(F.get(d.x, F.least(k, n - 1)))
+
+        good = (n > 0) & (d.by > 0) & (F.coalesce(count, F.lit(0)) > 0)
+        return F.when(good, F.transform(F.sequence(F.lit(0), F.when(good, count - 1).otherwise(F.lit(0))), sample))
 
-    good = (n > 0) & (factor > 0) & (count > 0)
-    return F.when(good, F.transform(F.sequence(F.lit(0), F.when(good, count - 1).otherwise(F.lit(0))), sample))
+    return let(F.struct(x.alias("x"), F.when(factor > 0, factor).alias("by")), made)
 
 
 def augmentation_factors(no_augment: Column) -> Column:
@@ -144,5 +160,4 @@ def augmentation_factors(no_augment: Column) -> Column:
 
 def context_stack(rows: Column, reach: int) -> Column:
     """Every frame with ``reach`` frames on both sides, the ends repeated."""
-    last = F.size(rows) - 1
-    return F.transform(rows, lambda _, i: F.flatten(F.transform(F.sequence(i - reach, i + reach), lambda k: F.get(rows, F.greatest(F.lit(0), F.least(k, last))))))
+    return let(rows, lambda m: F.transform(m, lambda _, i: F.flatten(F.transform(F.sequence(i - reach, i + reach), lambda k: F.get(m, F.greatest(F.lit(0), F.least(k, F.size(m) - 1)))))))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phonoflow.functions import kernels as K
+from phonoflow.functions.common import let
 
 FEATURES = "array<array<double>>"
 
@@ -115,11 +116,6 @@ def mean_normalised(rows: DataFrame, by: list[str], value: str = "v") -> DataFra
     return rows.withColumn(value, F.col(value) - F.avg(value).over(Window.partitionBy(*by)))
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once, however often it occurs there."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def silence_bounds(energy: Column) -> Column:
     """struct(start, end) of the speech within an array of energies, by the first and last quarter of the frames."""
 

@@ -12,7 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from phonoflow.functions.common import let
 from phonoflow.functions.phonemes import LOG_ZERO
+from phonoflow.session import cut_lineage
 
 START, END = "<s>", "</s>"
 LN10 = 2.302585092994046
@@ -25,9 +27,14 @@ def padded(words: Column) -> Column:
 
 def ngrams(words: Column, n: int) -> Column:
     """The n-grams of an array as structs w1..wn; empty for a shorter array."""
-    last = F.size(words) - n
-    make = lambda i: F.struct(*[F.get(words, i + k).alias(f"w{k + 1}") for k in range(n)])
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), make)).otherwise(F.array().cast("array<struct<" + ",".join(f"w{k + 1}:string" for k in range(n)) + ">>"))
+    none = F.array().cast("array<struct<" + ",".join(f"w{k + 1}:string" for k in range(n)) + ">>")
+
+    def make(w: Column) -> Column:
+        last = F.size(w) - n
+        gram = lambda i: F.struct(*[F.get(w, i + k).alias(f"w{k + 1}") for k in range(n)])
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), gram)).otherwise(none)
+
+    return let(words, make)
 
 
 def clamp_order(order: int) -> int:
@@ -89,16 +96,17 @@ def backoff_bigrams(p_tri: DataFrame, p_bi: DataFrame) -> DataFrame:
 
 
 def build(sentences: DataFrame, order: int = 3, words: str = "words", oov: float = 0.0) -> NGramModel:
-    """The smoothed model of a corpus."""
+    """The smoothed model of a corpus. Counts are kept in the checkpoint folder, as every order needs those of the one below."""
     order = clamp_order(order)
-    p1 = witten_bell_unigrams(counts(sentences, 1, words))
-    p2 = witten_bell(counts(sentences, 2, words), 2)
+    kept = {n: cut_lineage(counts(sentences, n, words)) for n in range(1, order + 1)}
+    p1 = witten_bell_unigrams(kept[1])
+    p2 = witten_bell(kept[2], 2)
     bo1 = backoff_unigrams(p2, p1).withColumnRenamed("h", "w")
     uni = p1.join(bo1, "w", "left").select("w", F.log10("p").alias("lp"), F.coalesce("bo", F.lit(0.0)).alias("bo"))
     two = p2.select(F.col("w1").alias("h"), F.col("w2").alias("w"), F.log10("p").alias("lp"))
     if order == 2:
         return NGramModel(2, uni, two.withColumn("bo", F.lit(0.0)), None, oov)
-    p3 = witten_bell(counts(sentences, 3, words), 3)
+    p3 = witten_bell(kept[3], 3)
     bo2 = backoff_bigrams(p3, p2).select(F.col("h2").alias("h"), F.col("h1").alias("w"), "bo")
     bi = two.join(bo2, ["h", "w"], "left").select("h", "w", "lp", F.coalesce("bo", F.lit(0.0)).alias("bo"))
     tri = p3.select(F.col("w1").alias("h2"), F.col("w2").alias("h1"), F.col("w3").alias("w"), F.log10("p").alias("lp"))
@@ -154,8 +162,7 @@ def scored(model: NGramModel, queries: DataFrame) -> DataFrame:
 
 def sentence_scores(model: NGramModel, sentences: DataFrame, key: str, words: str = "words") -> DataFrame:
     """L2: (key, n_tokens, n_oov, log_prob): natural log-probability with both sentence marks and full histories."""
-    p = padded(F.col(words))
-    items = F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.struct(F.get(p, i - 2).alias("h2"), F.get(p, i - 1).alias("h1"), F.get(p, i).alias("w")))
+    items = let(padded(F.col(words)), lambda p: F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.struct(F.get(p, i - 2).alias("h2"), F.get(p, i - 1).alias("h1"), F.get(p, i).alias("w"))))
     tokens = sentences.select(key, F.explode(items).alias("t")).select(key, "t.h2", "t.h1", "t.w")
     known = model.uni.select(F.col("w").alias("_k"))
     rows = scored(model, tokens).join(known, F.col("w") == F.col("_k"), "left")
