@@ -55,8 +55,10 @@ def utterances(spark: SparkSession, manifests: list[str], plain: list[str], wavs
     words = by_word.select("utt_id", F.transform("_w", lambda x: x.phonemes).alias("word_phonemes"))
     speech = rows.join(lexicon.utterance_phonemes(rows, dictionary), "utt_id").join(words, "utt_id").join(audio, "wav_path")
     factors = D.augmentation_factors(F.col("no_augment")) if augment else F.array(F.lit(1.0))
-    spread = speech.withColumn("speed", F.explode(factors)).withColumn("samples", D.speed_perturbed(F.col("samples"), F.col("speed")))
-    made = spread.select(F.concat_ws("@", "utt_id", "speed").alias("utt_id"), "phonemes", "word_phonemes", mfcc(F.col("samples"), cfg).alias("features"))
+    # explode keeps the expression out of the Arrow function's argument, where lambdas can't be evaluated
+    spread = speech.withColumn("speed", F.explode(factors)).withColumn("samples", F.explode(F.array(D.speed_perturbed(F.col("samples"), F.col("speed")))))
+    # kept as a table, as every pass of a training reads it
+    made = cut_lineage(spread.select(F.concat_ws("@", "utt_id", "speed").alias("utt_id"), "phonemes", "word_phonemes", mfcc(F.col("samples"), cfg).alias("features")))
     return made.where("features is not null").where(F.size("features") >= F.size("phonemes"))
 
 
@@ -167,7 +169,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif a.command == "tuner":
         r = decoder.recognizer(spark, a.am, a.lm, a.dict, a.dnn, oov_log10=a.oov_prob, search=SearchConfig(beam=a.beam, lm_interpolation=a.lm_interp))
         cases = readers.read_manifest(spark, *a.manifest.split(","), comments=True).join(read_wav(spark, a.wavs).where("error is null").withColumnRenamed("path", "wav_path"), "wav_path")
-        rows = cases.select("expected", mfcc(F.col("samples"), cfg).alias("features")).where("features is not null")
+        rows = cut_lineage(cases.select("expected", mfcc(F.col("samples"), cfg).alias("features"))).where("features is not null")
         out = cut_lineage(decoder.tuned(rows, decoder.grid(spark, _numbers(a.lm_weights, float), _numbers(a.word_penalties, float), _numbers(a.max_tokens, int), _numbers(a.max_word_ends, int)), r))
         out.orderBy("rank").show(1000, truncate=False)
         if a.output:

@@ -154,7 +154,8 @@ def greedy_selection(candidates: DataFrame, accepted: DataFrame, budget: int, mi
             near = (q for n in range(len(ph) - min_distance + 1, len(ph) + min_distance) for q in taken.get(n, ()))
             if min_distance > 0 and len(ph) and any(_levenshtein_below(ph, q, min_distance) for q in near):
                 continue
-            taken.setdefault(len(ph), []).append(ph)
+            if ph:
+                taken.setdefault(len(ph), []).append(ph)
             rows.append((r.word, r.phonemes, r.pos))
             left -= 1
         return pd.DataFrame(rows, columns=["word", "phonemes", "pos"])
@@ -207,7 +208,9 @@ def tokenised(lines: DataFrame, command: list[str] | None = None, batch: int = 1
             for at in range(0, len(pdf), batch):
                 part = pdf.iloc[at : at + batch]
                 text = "".join(f"{' '.join(s.split())}\n" for s in part["line"])
-                got = subprocess.run(command, input=text, capture_output=True, text=True, check=True).stdout.split("\n")[: len(part)]
+                got = subprocess.run(command, input=text, capture_output=True, text=True, check=True).stdout.split("\n")
+                if not got[-1]:
+                    got.pop()
                 if len(got) != len(part):
                     raise ValueError("the tokeniser lost a line")
                 yield pd.DataFrame({"id": part["id"], "words": [x.split() for x in got]})

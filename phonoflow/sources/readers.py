@@ -44,7 +44,7 @@ def arpa_grams(lines: DataFrame) -> DataFrame:
     f = rows.withColumn("f", X.fields_u(F.col("line")))
     enough = F.size("f") >= F.col("ord") + 1
     good = f.withColumn("lp", _checked(enough, F.get("f", F.lit(0)), F.concat(F.lit("too few fields in n-gram line: "), F.col("line"))).cast("double"))
-    return good.select("ord", F.slice("f", F.lit(2), F.col("ord")).alias("words"), (F.col("lp") * LN10).alias("log_prob"), (F.coalesce(F.get("f", F.col("ord") + 1).cast("double"), F.lit(0.0)) * LN10).alias("log_backoff"))
+    return good.select("ord", F.slice("f", F.lit(2), F.greatest("ord", F.lit(0))).alias("words"), (F.col("lp") * LN10).alias("log_prob"), (F.coalesce(F.get("f", F.col("ord") + 1).cast("double"), F.lit(0.0)) * LN10).alias("log_backoff"))
 
 
 def read_arpa(spark: SparkSession, path: str, oov: float = 0.0) -> NGramModel:

@@ -180,7 +180,7 @@ def test_dictionary_operators(spark):
     same = lexicon.tokenised(spark.createDataFrame([(1, "a b"), (2, "c")], "id int, line string"), ["cat"]).orderBy("id").collect()
     assert [r["words"] for r in same] == [["a", "b"], ["c"]]
     with pytest.raises(Exception, match="lost a line"):
-        lexicon.tokenised(spark.createDataFrame([(1, "a"), (2, "b")], "id int, line string").coalesce(1), ["head", "-n", "1"]).collect()
+        lexicon.tokenised(spark.createDataFrame([(1, "a"), (2, "b")], "id int, line string").repartition(1), ["head", "-n", "1"]).collect()
 
 
 def test_near_pairs_are_those_of_brute_force(spark):
