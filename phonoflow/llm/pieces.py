@@ -36,7 +36,7 @@ from phonoflow.session import table
 MODEL = "piece_bpe_32k.model"
 ALPHA = 1.0
 SEED = 17
-_SLICE = 1 << 22
+_SLICE = 1 << 20
 _BYTE_WEIGHT = -12.0
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
