@@ -22,8 +22,9 @@ TEMPLATES = [
 
 def product(spark: SparkSession, fmt: str, slots: list[list[str]]) -> DataFrame:
     """(i0, i1, ..., sentence): every combination in odometer order."""
-    parts = [spark.createDataFrame([(i, v) for i, v in enumerate(s)], f"i{k} int, s{k} string") for k, s in enumerate(slots)]
-    every = reduce(lambda a, b: a.crossJoin(b), parts)
+    every = spark.range(0, 1, 1, 1)
+    for k, s in enumerate(slots):
+        every = every.select("*", F.posexplode(F.array(*map(F.lit, s))).alias(f"i{k}", f"s{k}"))
     return every.select(*[f"i{k}" for k in range(len(slots))], X.fill_template(fmt, *[F.col(f"s{k}") for k in range(len(slots))]).alias("sentence"))
 
 

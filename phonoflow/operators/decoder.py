@@ -113,8 +113,10 @@ def recognizer(spark: SparkSession, am_path: str, lm_path: str, dict_path: str,
 # ---------------------------------------------------------------- grid search
 def grid(spark: SparkSession, lm_weights: list[float], word_penalties: list[float], max_tokens: list[int], max_word_ends: list[int]) -> DataFrame:
     """Every combination."""
-    one = lambda v, name, kind: spark.createDataFrame([(x,) for x in v], f"{name} {kind}")
-    return one(lm_weights, "lm_weight", "double").crossJoin(one(word_penalties, "word_penalty", "double")).crossJoin(one(max_tokens, "max_tokens", "int")).crossJoin(one(max_word_ends, "max_word_ends", "int"))
+    out = spark.range(0, 1, 1, 1)
+    for name, kind, values in (("lm_weight", "double", lm_weights), ("word_penalty", "double", word_penalties), ("max_tokens", "int", max_tokens), ("max_word_ends", "int", max_word_ends)):
+        out = out.withColumn(name, F.explode(F.array(*[F.lit(v).cast(kind) for v in values])))
+    return out.drop("id")
 
 
 GRID = ["lm_weight", "word_penalty", "max_tokens", "max_word_ends"]

@@ -13,8 +13,8 @@ from phonoflow.operators import acoustic as A
 from phonoflow.operators import decoder
 from phonoflow.operators import network as NN
 from phonoflow.plans.register import query
+from phonoflow.plans.register import source as table
 from phonoflow.plans.signal_queries import _U, _X, by_user, embeddings
-from phonoflow.session import table
 
 CLASSES = 12
 _LONG = "o AS (SELECT vec_id, label, i, x[i] AS v FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM e))"

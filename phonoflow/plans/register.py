@@ -6,6 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from phonoflow.session import table
+
+#: tables whose rows are worth a task each few megabytes
+LARGE = ("documents", "pages", "embeddings", "conversations")
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -21,3 +26,12 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return add
+
+
+def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; a large one that is read in fewer tasks than there are cores, being one small file, is dealt out to all of them.
+
+    A table of many files has more splits than cores and is left as it is, so nothing is shuffled at scale.
+    """
+    df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in LARGE and df.rdd.getNumPartitions() < cores else df

@@ -10,7 +10,7 @@ from phonoflow.functions import kernels as K
 from phonoflow.functions import signal as D
 from phonoflow.operators import features as FE
 from phonoflow.plans.register import query
-from phonoflow.session import table
+from phonoflow.plans.register import source as table
 
 N_FFT, FILTERS, CEPSTRA = 64, 8, 6
 _X = "e AS (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings)"

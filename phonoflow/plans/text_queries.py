@@ -9,7 +9,8 @@ from phonoflow.functions import phonemes as P
 from phonoflow.functions import text as X
 from phonoflow.operators import corpus, decoder, lexicon, lm
 from phonoflow.plans.register import query
-from phonoflow.session import cut_lineage, table
+from phonoflow.plans.register import source as table
+from phonoflow.session import cut_lineage
 
 OOV = -5.0 * lm.LN10
 _WORDS = "list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> '')"
