@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 _BASE = 0x9E3779B97F4A7C15
-_SLICE = 1 << 21
+_SLICE = 1 << 20
 _LOWER = np.zeros(256, np.uint8)
 for _c in range(256):
     _LOWER[_c] = _c if _c >= 128 else ord(chr(_c).lower()) if chr(_c).isalnum() else 0
