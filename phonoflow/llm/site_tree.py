@@ -8,13 +8,15 @@ don't count. Composite importance is (1 - g^l) * presentation + g^l * mean of th
 An element is noise when it and all below it are of low composite importance; such branches are removed from every page,
 but for inline ones beside a text that stays, which are words of its sentence. What is left of the body is the page's text.
 
-Plan: one pass emits (host, element, style or text hash, pages) rows, pre-added by batch; two aggregations bring them to
-a row per element that at least two pages have, and a host's tree is folded in one group of those. A second pass prunes.
+Plan: one pass tells pages of a host apart by a hash of their DOM, and one shuffle of the pages leaves one of each. A second
+emits (host, element, style or text hash, pages) rows, pre-added by batch; two aggregations bring them to a row per element
+that at least two pages have, and a host's tree is folded in one group of those. A last pass prunes every row.
 Pages are joined with the noise of their host, by broadcast up to BROADCAST_ELEMENTS elements and by sort-merge beyond it.
 
 Defined results: null html gives null text, empty html the empty text. A page without a host belongs to no site: nothing
-but scripts, styles, heads and comments goes. So it is on a host's only page. Repeated rows count as pages each. Broken
-markup: an end tag without its start is passed over; open elements end with their parent, and p, li, tr, td, th, dt, dd,
+but scripts, styles, heads and comments goes. So it is on a host's only page. Repeated rows, and pages of a host that are
+alike but for scripts, styles, heads, comments, white space and attributes other than class and id, count as one page and
+each get its text: else a text that stands on a page and its copy would be taken for a template. Broken markup: an end tag without its start is passed over; open elements end with their parent, and p, li, tr, td, th, dt, dd,
 option before the next of their kind. Other columns aren't looked at.
 """
 
@@ -30,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from phonoflow.session import cut_lineage, table
 
@@ -120,6 +123,28 @@ def walk(root: Node) -> Iterator[tuple[int, Node, int, list[int]]]:
         todo += [(keys[c.label], c) for c in kept]
 
 
+def fingerprint(source: str) -> int:
+    """A hash of all of the DOM that statistics are made of: pages of one host with the same have the same statistics."""
+    parts: list[str] = []
+    todo: list[Node | None] = [parse(source)]
+    while todo:
+        node = todo.pop()
+        if node is None:
+            parts.append("\x02")
+        elif node.text is not None:
+            parts.append("\x01" + _SPACE.sub(" ", node.text).strip())
+        elif node.label.split(" ", 1)[0] not in _HIDDEN:
+            parts.append(node.label)
+            todo.append(None)
+            todo += reversed(node.children)
+    return _hash(*parts)
+
+
+@F.arrow_udf(LongType())
+def _fingerprints(source: pa.Array) -> pa.Array:
+    return pa.array([fingerprint(s) for s in source.to_pylist()], pa.int64())
+
+
 _STAT_SCHEMA = "host string, element long, kind int, key long, pages long, children array<long>"
 
 
@@ -217,8 +242,9 @@ def host_of(url: Column) -> Column:
 
 def site_noise(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(host, noise): the element keys of low importance of every host."""
-    rows = pages.select(host_of(pages["url"]).alias("host"), pages["html"].alias("html")).where("host is not null and html is not null").mapInArrow(_statistics, _STAT_SCHEMA)
-    counts = rows.groupBy("host", "element", "kind", "key").agg(F.sum("pages").alias("pages"), F.min("children").alias("children"))
+    rows = pages.select(host_of(pages["url"]).alias("host"), pages["html"].alias("html")).where("host is not null and html is not null")
+    distinct = rows.withColumn("page", _fingerprints("html")).groupBy("host", "page").agg(F.min("html").alias("html"))
+    counts = distinct.select("host", "html").mapInArrow(_statistics, _STAT_SCHEMA).groupBy("host", "element", "kind", "key").agg(F.sum("pages").alias("pages"), F.min("children").alias("children"))
     is_ = lambda k: F.col("kind") == k
     elements = counts.groupBy("host", "element").agg(
         F.coalesce(F.sum(F.when(is_(0), F.col("pages"))), F.lit(0)).alias("pages"),

@@ -102,3 +102,14 @@ def test_statistics_add_up(spark):
     rows = pa.Table.from_batches(list(T._statistics(iter([one])))).to_pylist()
     root = T._hash("#root")
     assert [r["pages"] for r in rows if r["element"] == root and r["kind"] == 0] == [3]
+
+
+def test_copies_of_pages_count_once(spark):
+    """Repeated rows, copies under other URLs and copies that differ in what isn't seen don't make a text a template."""
+    own = [(i, f"http://site.example/{i}", page(i), None, None, None) for i in range(12)]
+    want = [f"Title {i}\nBody of page {i}, unlike others.\nSecond {i * 7}" for i in range(12)]
+    copies = [(100 + i, f"http://site.example/copy/{i}", page(i).replace("var a", f"var a{i}").replace("<body>", f"<!-- {i} --><body data-n='{i}'>"), None, None, None) for i in range(12)]
+    for extra in (own, own[:6], own * 3, copies, copies[:6]):
+        rows = own + extra
+        got = [(r["page_id"], r["text"]) for r in T.extracted(spark.createDataFrame(rows, SCHEMA)).collect()]
+        assert sorted(got) == sorted((r[0], want[r[0] % 100]) for r in rows)
