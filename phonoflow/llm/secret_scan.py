@@ -4,12 +4,14 @@ A byte-pair vocabulary spells ordinary words with few tokens and random strings
 characters of the alphabets that keys are written in are held against it: few characters per token expose a random string.
 Excluded first are known digests and identifiers: strings on a given list; UUIDs; numbers; hexadecimal strings of a
 digest's length, and strings named as a checksum, digest, commit or id, unless their name says key, token, password or the
-like.
+like. A run that passes as a whole is looked at by its parts between / - and _, as words joined to a random string would
+hide it: neighbouring parts that each fail, one of them of half of MIN_CHARS or more, are reported as one finding, filled
+up to MIN_CHARS with the parts beside them where they are shorter. The exclusions hold for parts, too.
 
 Plan: a JVM expression finds the documents that hold a candidate at all; only their texts go to Python, in Arrow batches.
 No shuffle. Whole texts are scanned.
 
-Defined results: null and empty texts have no findings; overlaps can't occur, as runs are maximal; repeated rows are each
+Defined results: null and empty texts have no findings; overlaps can't occur, as runs are maximal and parts of one are taken once; repeated rows are each
 scanned; a null doc_id is reported as null. Redaction changes text, and n_chars where that column exists and the text
 changed; other columns stay.
 """
@@ -32,6 +34,7 @@ MIN_CHARS = 20
 MAX_CHARS_PER_TOKEN = 2.35
 MASK = "[SECRET]"
 _RUN = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{%d,}={0,2}"
+_PART = re.compile(r"[A-Za-z0-9+]+={0,2}")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
 _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 _DIGEST_CHARS = {32, 40, 56, 64, 96, 128}
@@ -41,6 +44,48 @@ _SECRET_NAME = re.compile(r"(?i)key|token|secret|passw|pwd|auth|credential|beare
 _KNOWN_NAME = re.compile(r"(?i)^(?:sha\d*|sha-?\d+|md5|crc\d*|blake\w*|checksum|digest|hash|commit|rev|revision|tree|blob|etag|integrity|fingerprint|.*id|uuid|guid|isbn|doi|ref)$")
 
 
+def _mixed(s: str) -> bool:
+    """Whether it is more than one word of letters, or a number."""
+    return any(c.isalpha() for c in s) and (any(c.isdigit() for c in s) or any(a.islower() and b.isupper() for a, b in zip(s, s[1:], strict=False)))
+
+
+def _parts_in(run: str, name: str, known: frozenset[str], folder: str, min_chars: int, limit: float) -> Iterator[tuple[int, int, float]]:
+    """(start, length, characters per token) of the random strings between the separators of a run."""
+    parts = [m.span() for m in _PART.finditer(run)]
+    uuids = [m.span() for m in _UUID.finditer(run)]
+    ratio = lambda a, b: (b - a) / len(encoding(folder).encode_ordinary(run[a:b]))
+
+    def fails(i: int) -> bool:
+        a, b = parts[i]
+        part = run[a:b]
+        if part in known or _NUMBER.fullmatch(part) or any(a < y and x < b for x, y in uuids):
+            return False
+        if _DIGEST.fullmatch(part) and not _SECRET_NAME.search(f"{name} {run[:a]}") and (len(part) in _DIGEST_CHARS or i and _KNOWN_NAME.match(run[slice(*parts[i - 1])])):
+            return False
+        return ratio(a, b) < limit
+
+    bad = [fails(i) for i in range(len(parts))]
+    first = i = 0  # parts before `first` are taken
+    while i < len(parts):
+        if not bad[i]:
+            i += 1
+            continue
+        lo = i
+        while i < len(parts) and bad[i]:
+            i += 1
+        hi = i - 1
+        if any(b - a >= min_chars // 2 and _mixed(run[a:b]) for a, b in parts[lo : hi + 1]):
+            size = lambda: parts[hi][1] - parts[lo][0]  # noqa: B023, E731
+            while size() < min_chars and lo > first:
+                lo -= 1
+            while size() < min_chars and hi + 1 < len(parts):
+                hi += 1
+            a, b = parts[lo][0], parts[hi][1]
+            if size() >= min_chars and run[a:b] not in known and not any(a < y and x < b for x, y in uuids) and (r := ratio(a, b)) < limit:
+                yield a, b - a, r
+                first = i = hi + 1
+
+
 def secrets_in(text: str, known: frozenset[str] = frozenset(), folder: str = TOKENIZER_DIR, min_chars: int = MIN_CHARS, limit: float = MAX_CHARS_PER_TOKEN) -> Iterator[tuple[int, int, float]]:
     """(start, length, characters per token) of every finding, in order."""
     for m in re.finditer(_RUN % min_chars, text):
@@ -56,6 +101,9 @@ def secrets_in(text: str, known: frozenset[str] = frozenset(), folder: str = TOK
         ratio = len(run) / len(encoding(folder).encode_ordinary(run))
         if ratio < limit:
             yield m.start(), len(run), ratio
+        else:
+            for start, length, part in _parts_in(run, name, known, folder, min_chars, limit):
+                yield m.start() + start, length, part
 
 
 def _candidates(text: Column, min_chars: int) -> Column:

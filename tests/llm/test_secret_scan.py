@@ -62,3 +62,25 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert got.where(F.col("text").contains(secret)).count() == 0
     assert all(r["text"].count(X.MASK) == (1 if r["doc_id"] is None else 3) and r["n_chars"] == len(r["text"]) for r in got.collect())
     assert X.redacted(got).exceptAll(got).count() == 0
+
+
+def test_random_strings_joined_to_words_are_found():
+    rng = random.Random(2)
+    letters = string.ascii_letters + string.digits
+    for before, kind, n, share in [("production/config/database/password/", "0123456789abcdef", 32, 0.97), ("production/config/database/password/", letters, 20, 0.97), ("production/config/database/password/", letters + "+/", 40, 0.97), ("database-connection-password-", letters, 20, 0.97), ("database-connection-password-", letters, 16, 0.9)]:
+        for after in ("", "/settings/of/the/application"):
+            found = 0
+            for _ in range(200):
+                text = f"see {before}{''.join(rng.choices(kind, k=n))}{after} there"
+                start = 4 + len(before)
+                found += any(a <= start and start + n <= a + size for a, size, _ in X.secrets_in(text))
+            assert found >= share * 200, (before, n, after, found)
+
+
+def test_words_digests_and_identifiers_in_long_runs_are_left_out():
+    long = "documentation/internationalization/configuration/"
+    for s in ("123e4567-e89b-12d3-a456-426614174000", "2fd4e1c67a2d28fced849ee1bb76e7391b93eb12", "commit/2fd4e1c67a2d", "2024/01/02", "version2", "MyVeryLongRoleNameForProductionDeployments2"):
+        assert not list(X.secrets_in(f"{long}{s}/{long}{long}")), s
+    secret = "q8Zk3vX0pLw7Tn5Rb2Yd9Hc4"
+    assert [(a, n) for a, n, _ in X.secrets_in(f"{long}{secret}/{long}")] == [(len(long), len(secret))]
+    assert not list(X.secrets_in(f"{long}{secret}/{long}", known=frozenset({secret})))
