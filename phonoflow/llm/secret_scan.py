@@ -3,8 +3,8 @@
 A byte-pair vocabulary spells ordinary words with few tokens and random strings with many. Runs of at least MIN_CHARS
 characters of the alphabets that keys are written in are held against it: few characters per token expose a random string.
 Excluded first are known digests and identifiers: strings on a given list; UUIDs; numbers; hexadecimal strings of a
-digest's length, and strings named as a checksum, digest, commit or id, unless their name says key, token, password or the
-like. A run that passes as a whole is looked at by its parts between / - and _, as words joined to a random string would
+digest's length, and strings named as a checksum, digest, commit or id, by a name before a colon, = or =>, unless their
+name says key, token, password or the like. A run that passes as a whole is looked at by its parts between / - and _, as words joined to a random string would
 hide it: neighbouring parts that each fail, one of them of half of MIN_CHARS or more, are reported as one finding, filled
 up to MIN_CHARS with the parts beside them where they are shorter. The exclusions hold for parts, too.
 
@@ -39,9 +39,10 @@ _UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}
 _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 _DIGEST_CHARS = {32, 40, 56, 64, 96, 128}
 _NUMBER = re.compile(r"[\d+\-_/=]+")
-_NAME = re.compile(r"([A-Za-z][\w.\-]*)[\"']?\s*(?:[:=]|=>|\s)\s*[\"']?$")
+_NAME = re.compile(r"([A-Za-z][\w.\-]*)[\"']?\s*(=>|[:=]|\s)\s*[\"']?$")
 _SECRET_NAME = re.compile(r"(?i)key|token|secret|passw|pwd|auth|credential|bearer|private|signature")
-_KNOWN_NAME = re.compile(r"(?i)^(?:sha\d*|sha-?\d+|md5|crc\d*|blake\w*|checksum|digest|hash|commit|rev|revision|tree|blob|etag|integrity|fingerprint|.*id|uuid|guid|isbn|doi|ref)$")
+#: an id is a word of its own in the name: id, doc_id, doc-id, docId, docID
+_KNOWN_NAME = re.compile(r"^(?:(?i:sha\d*|sha-?\d+|md5|crc\d*|blake\w*|checksum|digest|hash|commit|rev|revision|tree|blob|etag|integrity|fingerprint|(?:.*[_.\-])?id|uuid|guid|isbn|doi|ref)|.*[a-z0-9]I[dD])$")
 
 
 def _mixed(s: str) -> bool:
@@ -95,8 +96,8 @@ def secrets_in(text: str, known: frozenset[str] = frozenset(), folder: str = TOK
         if not (any(c.isdigit() for c in run) or any(a.islower() and b.isupper() for a, b in zip(run, run[1:], strict=False))):
             continue  # one word of letters
         name = _NAME.search(text, max(0, m.start() - 80), m.start())
-        name = name.group(1) if name else ""
-        if not _SECRET_NAME.search(name) and (_KNOWN_NAME.match(name) or (_DIGEST.fullmatch(run) and len(run) in _DIGEST_CHARS)):
+        name, sign = name.groups() if name else ("", "")
+        if not _SECRET_NAME.search(name) and (not sign.isspace() and _KNOWN_NAME.match(name) or (_DIGEST.fullmatch(run) and len(run) in _DIGEST_CHARS)):
             continue
         ratio = len(run) / len(encoding(folder).encode_ordinary(run))
         if ratio < limit:

@@ -84,3 +84,11 @@ def test_words_digests_and_identifiers_in_long_runs_are_left_out():
     secret = "q8Zk3vX0pLw7Tn5Rb2Yd9Hc4"
     assert [(a, n) for a, n, _ in X.secrets_in(f"{long}{secret}/{long}")] == [(len(long), len(secret))]
     assert not list(X.secrets_in(f"{long}{secret}/{long}", known=frozenset({secret})))
+
+
+def test_a_word_before_a_string_is_no_name_of_an_identifier():
+    secret = "q8Zk3vX0pLw7Tn5Rb2Yd9Hc4"
+    for before in ("she said ", "paid ", "invalid ", "Madrid ", "the tree ", "a ref ", "hash ", "commit ", "id ", "paid: ", "invalid = ", "Madrid => "):
+        assert [(a, n) for a, n, _ in X.secrets_in(f"{before}{secret} and more")] == [(len(before), len(secret))], before
+    for before in ("id: ", "doc_id = ", "doc-id => ", '"docId": "', "userID=", "commit: ", "etag => ", "ref="):
+        assert not list(X.secrets_in(f"{before}{secret} and more")), before
