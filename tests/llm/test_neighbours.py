@@ -63,3 +63,23 @@ def test_odd_rows(spark):
 def test_fewer_rows_than_k(spark, n):
     df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(n)], "vec_id long, embedding array<double>")
     assert N.nearest(df).count() == n * (n - 1)
+
+
+@pytest.mark.parametrize("n", [5, 12])
+def test_all_come_in_many_dimensions(spark, n):
+    x = np.random.default_rng(n).normal(size=(n, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for more in ({}, {"plan": (1, 1)}):
+        assert N.nearest(df, k=20, **more).count() == n * (n - 1)
+
+
+@pytest.mark.parametrize(("n", "dim"), [(100, 64), (2_500, 256)])
+def test_recall_follows_dimension_and_rows(spark, n, dim):
+    x = np.random.default_rng(2).normal(size=(n, dim)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sim = u @ u.T
+    np.fill_diagonal(sim, -1)
+    truth = np.argsort(-sim, axis=1)[:, : N.K]
+    got = N.nearest(df).toPandas().groupby("vec_id")["neighbour_id"].agg(set).to_dict()
+    assert np.mean([len(got.get(i, set()) & set(truth[i].tolist())) / N.K for i in range(n)]) >= 0.9
