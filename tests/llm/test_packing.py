@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from phonoflow.llm import packing as B
-from phonoflow.llm.tokens import encoding
+from phonoflow.llm.tokens import encoding, token_ids
 
 
 def brute(sizes, capacity):
@@ -73,9 +77,71 @@ def test_whole_table_against_brute_force(spark, sf):
     assert [r["bin_id"] for r in rows] == brute([r["n_tokens"] for r in rows], B.CAPACITY)[0]
 
 
-def test_shards_are_apart(spark, sf):
-    from phonoflow.session import table
-
-    docs = table(spark, sf, "documents")
-    bins = check(docs, B.packed(docs, 512, shard_rows=40), 512)
-    assert len({b >> 32 for b in bins}) > 1
+def pure_bpe(raw):
+    """Tokens of one piece by the definition: the pair of the lowest rank is merged wherever it stands, from the left."""
+    ranks = encoding()._mergeable_ranks
+    parts = [bytes([b]) for b in raw]
+    while len(parts) > 1:
+        rank, pair = min((ranks.get(a + b, 1 << 30), (a, b)) for a, b in set(zip(parts, parts[1:], strict=False)))
+        if rank == 1 << 30:
+            break
+        out, i = [], 0
+        while i < len(parts):
+            if i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair:
+                out.append(parts[i] + parts[i + 1])
+                i += 2
+            else:
+                out.append(parts[i])
+                i += 1
+        parts = out
+    return [ranks[p] for p in parts]
+
+
+@pytest.mark.parametrize("char", [" ", "x", "\n"])
+def test_endless_runs(spark, char):
+    """Five million of one character, at the end and before a word."""
+    n = 5_000_000
+    alone, before = pure_bpe(char.encode() * n), pure_bpe(char.encode() * (n - 1))
+    assert token_ids(char * n) == alone
+    if char != "x":
+        assert token_ids("a" + char * n + "word here") == encoding().encode_ordinary("a") + before + encoding().encode_ordinary(char + "word here")
+    docs = spark.createDataFrame([(1, char * n), (2, None)], "doc_id long, text string")
+    got = B.packed(docs, texts=True)
+    assert {r["doc_id"]: r["n"] for r in got.groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()} == {1: len(alone) + 1, 2: 1}
+    assert "".join(r["text"] for r in got.where("doc_id = 1").orderBy("piece").collect()) == char * n
+
+
+@given(st.text(alphabet="a b\n\t\u00a0\u2028x'1!é", max_size=60))
+def test_long_runs_apart_give_the_same_tokens(text):
+    from phonoflow.llm import tokens
+
+    limit, pattern = tokens.LONG_RUN, tokens._LONG_SPACE
+    tokens.LONG_RUN, tokens._LONG_SPACE = 0, re.compile(pattern.pattern.replace("50000", "2"))
+    try:
+        assert token_ids(text) == encoding().encode_ordinary(text)
+    finally:
+        tokens.LONG_RUN, tokens._LONG_SPACE = limit, pattern
+
+
+def test_texts_of_pieces_give_the_documents(spark, odd_docs, no_docs):
+    rows = [(i, t) for i, t in enumerate(["漢字かな交じり文🙂" * 40, "ä" * 500, "word " * 300, "", None])] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(odd_docs.select("doc_id", "text"))
+    for capacity in (5, 64):
+        got = B.packed(docs, capacity, texts=True)
+        check(docs, got.drop("text"), capacity)
+        by = {}
+        for r in got.orderBy("doc_id", "piece").collect():
+            by.setdefault((r["doc_id"], r["piece"]), []).append(r["text"])
+        for i, text in rows:
+            parts = [by[i, k] for k in range(max(k for j, k in by if j == i) + 1)] if i in (0, 1, 2, 4) else []
+            if i in (0, 2):  # ids that no other text has
+                assert "".join(p[0] for p in parts) == text
+    assert B.packed(no_docs, texts=True).count() == 0
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(1, 300), st.lists(st.tuples(st.integers(1, 300), st.integers(1, 40)), max_size=30))
+def test_runs_of_equal_sizes(capacity, sizes):
+    sizes = sorted((min(s, capacity) for s, n in sizes for _ in range(n)), reverse=True)
+    got = B.best_fit_decreasing(np.array(sizes, np.int64), capacity)
+    assert (got[0].tolist(), got[1].tolist()) == brute(sizes, capacity)
