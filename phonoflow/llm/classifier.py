@@ -6,11 +6,12 @@ sum-of-squares identity makes all pairwise interactions linear in the number of
 
 Fitting: on at most MAX_TRAIN_ROWS labelled documents, taken by a hash of the doc_id (a documented bound: the model has a
 fixed size, so more rows don't need to reach the driver). Their features are computed by the executors; Adagrad runs in
-numpy with a fixed seed, rows in the order of the hash, so a fit is reproducible. Scoring: one Arrow pass over whole texts
+numpy with a fixed seed, rows in the order of a hash of the doc_id, then of the doc_id, so a fit is reproducible. Scoring: one Arrow pass over whole texts
 with the weights broadcast (a fixed 5 MB); no shuffle.
 
 Defined results: a null or empty text scores 0. A null or missing lang or source is the empty string. Labels without
-doc_id or quality don't count; of contradicting labels the mean decides. With no labelled document of either class the
+doc_id or quality don't count; of contradicting labels the mean decides. Of different texts under one
+labelled doc_id the one with the least hash of text, lang and source is learned from. With no labelled document of either class the
 score is 0.5 everywhere. Repeated rows score alike; extra columns stay.
 """
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonoflow.llm.hashing import distinct_per_text, text_buffers, words
+from phonoflow.llm.hashing import distinct_per_text, mix64, text_buffers, words
 from phonoflow.session import table
 
 BUCKETS = 1 << 17
@@ -167,14 +168,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> F
             at = 0
             for row, index, value, n in features(b.column(2), b.column(3), b.column(4)):
                 cut = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), b.column(1).slice(at, n), pa.ListArray.from_arrays(cut, pa.array(index.astype(np.int32))), pa.ListArray.from_arrays(cut, pa.array(value))], ["id", "label", "feature", "value"])
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(at, n) for k in range(2)), pa.ListArray.from_arrays(cut, pa.array(index.astype(np.int32))), pa.ListArray.from_arrays(cut, pa.array(value))], ["id", "label", "feature", "value"])
                 at += n
 
     # max_rows bounds the broadcast side: 16 bytes a label
     labelled = docs.select(docs["doc_id"].cast("long").alias("_id"), text.alias("_text"), lang.alias("_lang"), source.alias("_source")).where("_text is not null and _text <> ''")
-    picked = labelled.join(F.broadcast(some), F.col("_id") == F.col("_label_id")).select("_id", "_label", "_text", "_lang", "_source")
+    # one text a label, added up before the shuffle: what reaches the driver is bounded however often an id occurs
+    first = F.min(F.struct(F.xxhash64("_text", "_lang", "_source").alias("key"), "_text", "_lang", "_source")).alias("one")
+    picked = labelled.join(F.broadcast(some), F.col("_id") == F.col("_label_id")).groupBy("_id", "_label").agg(first).select("_id", "_label", "one._text", "one._lang", "one._source")
     got = picked.mapInArrow(rows, "id long, label double, feature array<int>, value array<float>").toArrow()
-    order = np.lexsort((np.array([len(x) for x in got["feature"]], np.int64), got["id"].to_numpy())) if got.num_rows else []
+    order = np.lexsort((got["id"].to_numpy(), mix64(got["id"].to_numpy().view(np.uint64)))) if got.num_rows else []
     feature, value = got["feature"].combine_chunks(), got["value"].combine_chunks()
     feature, value = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (feature, value))
     cut, f, v = (feature.offsets.to_numpy(), feature.values.to_numpy(), value.values.to_numpy()) if got.num_rows else (np.zeros(1), None, None)
@@ -192,9 +195,14 @@ def score_column(docs: DataFrame, model: FactorisationMachine) -> Column:
     return score(*_columns(docs))
 
 
+def accepted_by(docs: DataFrame, model: FactorisationMachine, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score, rounded to six places, is at least ``threshold``; columns as they were."""
+    return docs.where(F.round(score_column(docs, model), 6) >= threshold)
+
+
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``; columns as they were."""
-    return docs.where(score_column(docs, fit(docs, labels, max_rows)) >= threshold)
+    """:func:`accepted_by` a model fitted on the labelled ones among ``docs``."""
+    return accepted_by(docs, fit(docs, labels, max_rows), threshold)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -72,3 +75,38 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert {r[0] for r in odd_docs.where(F.col("text") != "").select(Q.score_column(odd_docs.where(F.col("text") != ""), half)).collect()} == {0.5}
     few = spark.createDataFrame([(1, "a text")], "doc_id long, text string")
     assert Q.accepted(few, labels).count() == 1  # no lang, no source
+
+
+def test_texts_under_one_id_have_an_order(spark):
+    """A labelled id with many texts is learned from once, and the same whatever the partitions."""
+    docs = spark.createDataFrame([(i % 3, f"text number {i} of some words", "en", "s") for i in range(300)], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, quality int")
+    a, b = Q.fit(docs, labels), Q.fit(docs.orderBy(F.desc("text")).repartition(7), labels)
+    assert a.w0 == b.w0
+    assert (a.w == b.w).all()
+    assert (a.v == b.v).all()
+
+
+def test_scores_by_the_definition(spark, sf):
+    """Every feature and every pair of features of each text, written out anew, under the fitted weights."""
+    model = Q.fit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    rows = table(spark, sf, "documents").where("text <> ''").limit(40).toPandas()
+    got = model.score(pa.array(rows["text"]), pa.array(rows["lang"]), pa.array(rows["source"]))
+    for n, d in enumerate(rows.itertuples()):
+        raw = d.text.encode()
+        found = re.findall(rb"[A-Za-z0-9\x80-\xff]+", raw)
+        low = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in found]
+        word = lambda w: int(next(iter(Q.words(np.frombuffer(w, np.uint8), np.array([0, len(w)]))))[5][0]) >> 16
+        distinct = {word(w) for w in low}
+        share = lambda k, of: 0 if not k else int(np.clip(np.floor(-np.log2(max(k / of, 1e-9)) + 1), 1, 12))
+        count = lambda chars: sum(c in chars for c in raw)
+        size, m = len(raw), max(1, len(low))
+        stats = [int(np.log2(size)), int(sum(map(len, low)) / m), int(np.log2(m)), share(count(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), size), share(count(b"0123456789"), size), share(count(b"\n"), size), share(count(b"!?"), size), share(count(b"#$%&*+/<=>@[\\]^_`{|}~"), size), int(16 * len(distinct) / m), share(sum(a == b for a, b in zip(low, low[1:], strict=False)), m)]
+        stats = [min(15, max(0, x)) for x in stats]
+        x = [(w % Q.BUCKETS, 1 / len(distinct) ** 0.5) for w in distinct]
+        x += [(Q.BUCKETS + k * 16 + b, 0.5) for k, b in enumerate(stats)]
+        x += [(Q.BUCKETS + 160 + k * 512 + zlib.crc32(f"{k}={v}".encode()) % 512, 0.5) for k, v in enumerate((d.lang, d.source))]
+        index, value = np.array([i for i, _ in x]), np.array([v for _, v in x])
+        v = model.v[index].astype(np.float64) * value[:, None]
+        logit = model.w0 + (model.w[index] * value).sum() + sum(float(v[i] @ v[j]) for i in range(len(v)) for j in range(i))
+        assert abs(got[n] - 1 / (1 + np.exp(-logit))) < 1e-4
