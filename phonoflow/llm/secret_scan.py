@@ -8,6 +8,11 @@ name says key, token, password or the like. A run that passes as a whole is look
 hide it: neighbouring parts that each fail, one of them of half of MIN_CHARS or more, are reported as one finding, filled
 up to MIN_CHARS with the parts beside them where they are shorter. The exclusions hold for parts, too.
 
+Letters without a digit or a change from lower to upper case may be a long compound word, which a vocabulary spells badly,
+too. Such a string is held against the limit where its name says key, token or the like, and against the lower
+LETTERS_LIMIT elsewhere: 97 of 100 random ones of 32 letters lie below, compound words in capitals start at 2.0. The alphabet
+is none. Of a run of letters joined by separators alone, parts of MIN_CHARS or more are looked at, each by itself.
+
 Plan: a JVM expression finds the documents that hold a candidate at all; only their texts go to Python, in Arrow batches.
 No shuffle. Whole texts are scanned.
 
@@ -32,6 +37,7 @@ from phonoflow.session import table
 MIN_CHARS = 20
 #: 999 of 1,000 random hexadecimal strings of 32 lie below; names and paths with digits start at about 2.7.
 MAX_CHARS_PER_TOKEN = 2.35
+LETTERS_LIMIT = 1.95
 MASK = "[SECRET]"
 _RUN = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{%d,}={0,2}"
 _PART = re.compile(r"[A-Za-z0-9+]+={0,2}")
@@ -45,11 +51,19 @@ _SECRET_NAME = re.compile(r"(?i)key|token|secret|passw|pwd|auth|credential|beare
 _KNOWN_NAME = re.compile(r"^(?:(?i:sha\d*|sha-?\d+|md5|crc\d*|blake\w*|checksum|digest|hash|commit|rev|revision|tree|blob|etag|integrity|fingerprint|(?:.*[_.\-])?id|uuid|guid|isbn|doi|ref)|.*[a-z0-9]I[dD])$")
 
 
+_ALPHABET = "abcdefghijklmnopqrstuvwxyz"
+
+
 def _mixed(s: str) -> bool:
     """Whether it is more than one word of letters, or a number."""
     return any(c.isalpha() for c in s) and (any(c.isdigit() for c in s) or any(a.islower() and b.isupper() for a, b in zip(s, s[1:], strict=False)))
 
 
+def _letters_limit(s: str, named: bool, limit: float) -> float:
+    """The limit for a string of letters alone; 0 for the alphabet."""
+    return 0.0 if s.lower() in _ALPHABET * 2 else limit if named else min(limit, LETTERS_LIMIT)
+
+
 def _parts_in(run: str, name: str, known: frozenset[str], folder: str, min_chars: int, limit: float) -> Iterator[tuple[int, int, float]]:
     """(start, length, characters per token) of the random strings between the separators of a run."""
     parts = [m.span() for m in _PART.finditer(run)]
@@ -63,6 +77,8 @@ def _parts_in(run: str, name: str, known: frozenset[str], folder: str, min_chars
             return False
         if _DIGEST.fullmatch(part) and not _SECRET_NAME.search(f"{name} {run[:a]}") and (len(part) in _DIGEST_CHARS or i and _KNOWN_NAME.match(run[slice(*parts[i - 1])])):
             return False
+        if not _mixed(part):
+            return ratio(a, b) < (_letters_limit(part, bool(_SECRET_NAME.search(name)), limit) if b - a >= min_chars else limit)
         return ratio(a, b) < limit
 
     bad = [fails(i) for i in range(len(parts))]
@@ -75,7 +91,7 @@ def _parts_in(run: str, name: str, known: frozenset[str], folder: str, min_chars
         while i < len(parts) and bad[i]:
             i += 1
         hi = i - 1
-        if any(b - a >= min_chars // 2 and _mixed(run[a:b]) for a, b in parts[lo : hi + 1]):
+        if any(b - a >= (min_chars // 2 if _mixed(run[a:b]) else min_chars) for a, b in parts[lo : hi + 1]):
             size = lambda: parts[hi][1] - parts[lo][0]  # noqa: B023, E731
             while size() < min_chars and lo > first:
                 lo -= 1
@@ -93,10 +109,16 @@ def secrets_in(text: str, known: frozenset[str] = frozenset(), folder: str = TOK
         run = m.group()
         if run in known or _NUMBER.fullmatch(run) or _UUID.fullmatch(run):
             continue
-        if not (any(c.isdigit() for c in run) or any(a.islower() and b.isupper() for a, b in zip(run, run[1:], strict=False))):
-            continue  # one word of letters
         name = _NAME.search(text, max(0, m.start() - 80), m.start())
         name, sign = name.groups() if name else ("", "")
+        if not _mixed(run):  # words of letters
+            for p in _PART.finditer(run):
+                s = p.group()
+                if len(s) >= min_chars and s not in known and (sign.isspace() or not sign or _SECRET_NAME.search(name) or not _KNOWN_NAME.match(name)):
+                    ratio = len(s) / len(encoding(folder).encode_ordinary(s))
+                    if ratio < _letters_limit(s, bool(_SECRET_NAME.search(name)), limit):
+                        yield m.start() + p.start(), len(s), ratio
+            continue
         if not _SECRET_NAME.search(name) and (not sign.isspace() and _KNOWN_NAME.match(name) or (_DIGEST.fullmatch(run) and len(run) in _DIGEST_CHARS)):
             continue
         ratio = len(run) / len(encoding(folder).encode_ordinary(run))

@@ -92,3 +92,68 @@ def test_a_word_before_a_string_is_no_name_of_an_identifier():
         assert [(a, n) for a, n, _ in X.secrets_in(f"{before}{secret} and more")] == [(len(before), len(secret))], before
     for before in ("id: ", "doc_id = ", "doc-id => ", '"docId": "', "userID=", "commit: ", "etag => ", "ref="):
         assert not list(X.secrets_in(f"{before}{secret} and more")), before
+
+
+def test_letters_alone():
+    """Random letters are found, by name nearly all; long words, names and the alphabet aren't."""
+    rng = random.Random(4)
+    for kind in (string.ascii_lowercase, string.ascii_uppercase):
+        named = alone = joined = 0
+        for _ in range(300):
+            s = "".join(rng.choices(kind, k=32))
+            named += [(a, n) for a, n, _ in X.secrets_in(f"api_key = '{s}'")] == [(11, 32)]
+            alone += [(a, n) for a, n, _ in X.secrets_in(f"so {s} it is")] == [(3, 32)]
+            joined += [(a, n) for a, n, _ in X.secrets_in(f"configuration/{s}/settings")] == [(14, 32)]
+        assert named >= 297, (kind, named)
+        assert alone >= 280, (kind, alone)
+        assert joined >= 280, (kind, joined)
+    words = """donaudampfschifffahrtsgesellschaft Geschwindigkeitsbegrenzungen bundesausbildungsfoerderungsgesetz anticonstitutionnellement
+    electroencefalografista STRASSENVERKEHRSORDNUNG GESCHWINDIGKEITSBEGRENZUNG floccinaucinihilipilification abcdefghijklmnopqrstuvwxyz
+    some/long/path/to/another/page well-known-and-widely-used-names aaaaaaaaaaaaaaaaaaaaaaaaaaaa""".split()
+    assert not [w for w in words if list(X.secrets_in(f"say {w} again"))]
+    assert not list(X.secrets_in(f"commit: {'qzxjvkwpqzxjvkwpqzxj'}"))
+
+
+def test_runs_without_separators_by_another_library(spark, sf="/root/testdata/sf0.1"):
+    """The rules written anew for runs of letters and digits, with token counts of another library over the same vocabulary."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+    alphabet, joints = set(string.ascii_letters + string.digits), set("+/_-")
+    secret = ("key", "token", "secret", "passw", "pwd", "auth", "credential", "bearer", "private", "signature")
+    rows = table(spark, sf, "documents").where("text is not null").select("doc_id", "text").collect()
+    want = set()
+    for doc, text in rows:
+        at = 0
+        while at < len(text):
+            end = at
+            while end < len(text) and text[end] in alphabet | joints:
+                end += 1
+            run = text[at:end]
+            if len(run) >= 20 and not joints & set(run):
+                stop = end + (text[end : end + 2] == "==" and 2 or text[end : end + 1] == "=" and 1 or 0)
+                before = text[max(0, at - 80) : at].rstrip().rstrip("\"'").rstrip()
+                sign = before[-1:] if before[-1:] in (":", "=") else "=" if before.endswith("=>") else ""
+                word = before[: -2 if before.endswith("=>") else -1].rstrip().rstrip("\"'") if sign else before
+                name = ""
+                while word and (word[-1].isalnum() or word[-1] in "_.-"):
+                    name, word = word[-1] + name, word[:-1]
+                named = any(s in name.lower() for s in secret)
+                assert not name.lower().endswith("id") or named or not sign, "no planted ids of this kind"
+                digest = len(run) in (32, 40, 56, 64, 96, 128) and set(run) <= set("0123456789abcdef")
+                digits, turn = any(c.isdigit() for c in run), any(a.islower() and b.isupper() for a, b in zip(run, run[1:], strict=False))
+                limit = 2.35 if named or digits or turn else 1.95
+                if not run.isdigit() and not (digest and not named) and not run.lower() in string.ascii_lowercase and name.lower() not in ("sha256", "md5", "commit", "hash"):
+                    if (stop - at) / len(tok.encode(text[at:stop], add_special_tokens=False).ids) < limit:
+                        want.add((doc, at, stop - at))
+            at = max(end, at + 1)
+    texts = dict(rows)
+    got = {(r["doc_id"], r["start"], r["length"]) for r in X.op8_secret_scans(spark, sf).collect()}
+    plain = set()
+    for doc, a, n in got:
+        t = texts[doc]
+        around = t[max(0, a - 1) : a] + t[a : a + n] + t[a + n : a + n + 1]
+        if not joints & set(around):
+            plain.add((doc, a, n))
+    assert len(want) > 100
+    assert plain == want
