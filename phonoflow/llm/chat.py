@@ -1,7 +1,8 @@
 """3. Chat formatting, relational: Spark expressions only.
 
 Turns are collected as structs per conversation (partial aggregation, one shuffle by conv_id), sorted by (turn, role,
-text), adjacent turns of one role are merged by an array aggregation, and everything is concatenated into a template.
+text), adjacent turns of one role are merged by array expressions, gaps and islands over the array's places, and everything
+is concatenated into a template. A conversation is one row by nature, as its text is; the work is linear in its turns.
 
 Defined results: turns whose text is null or empty are left out, and so are rows without conv_id; a null role is "user";
 a null turn comes first. Of equal turn numbers the smaller role, then text, comes first; rows that repeat a turn in full
@@ -13,29 +14,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phonoflow.functions.common import let
 from phonoflow.session import table
 
 OPEN, MIDDLE, CLOSE, JOIN = "<|", "|>\n", "<|end|>\n", "\n"
 
 
-def _merge(turns: Column) -> Column:
-    """Runs of turns of one role become one: (role, text) structs. Texts collect in arrays, so a long run isn't copied at each turn."""
-    start = F.array().cast("array<struct<role:string,texts:array<string>>>")
+def _islands(turns: Column) -> Column:
+    """Runs of adjacent turns of one role as (role, texts) structs, in time linear in the turns.
 
-    def step(done: Column, t: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        grown = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(last.role.alias("role"), F.array_append(last.texts, t.text).alias("texts"))))
-        return F.when((F.size(done) > 0) & (last.role == t.role), grown).otherwise(F.array_append(done, F.struct(t.role.alias("role"), F.array(t.text).alias("texts"))))
-
-    return F.aggregate(turns, start, step)
+    The places where a run starts are found first; each run is then a slice between two of them. Turns that equal the one
+    before, as sorted ones that repeat do, are left out.
+    """
+    places = lambda a, starts: F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | starts(F.get(a, i - 1), F.get(a, i)))
+    once = let(turns, lambda a: F.transform(places(a, lambda x, y: x != y), lambda i: F.get(a, i)))
+    run = lambda a, s: F.transform(s, lambda i, k: F.struct(F.get(a, i).role.alias("role"), F.slice(a, i + 1, F.coalesce(F.get(s, k + 1), F.size(a)) - i).text.alias("texts")))
+    return let(once, lambda a: let(places(a, lambda x, y: x.role != y.role), lambda s: run(a, s)))
 
 
 def formatted(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, text): one row per conversation; n_turns counts merged turns."""
     rows = turns.where("conv_id is not null and text is not null and text <> ''")
     one = F.struct(F.col("turn").alias("turn"), F.coalesce(F.col("role"), F.lit("user")).alias("role"), F.col("text").alias("text"))
-    grouped = rows.groupBy("conv_id").agg(F.array_distinct(F.sort_array(F.collect_list(one))).alias("turns"))
-    merged = grouped.select("conv_id", _merge(F.col("turns")).alias("m"))
+    # structs compare field by field, nulls alike, so no comparison of two turns is null
+    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("turns"))
+    merged = grouped.select("conv_id", _islands(F.col("turns")).alias("m"))
     piece = F.transform("m", lambda t: F.concat(F.lit(OPEN), t.role, F.lit(MIDDLE), F.array_join(t.texts, JOIN), F.lit(CLOSE)))
     return merged.select("conv_id", F.size("m").alias("n_turns"), F.array_join(piece, "").alias("text"))
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from itertools import groupby
 
+from pyspark.sql import functions as F
+
 from phonoflow.llm import chat as C
 
 SCHEMA = "conv_id long, turn long, role string, text string, turns string, m int"
@@ -38,5 +41,17 @@ def test_long_conversation(spark):
     assert (got["n_turns"], got["text"]) == brute(rows)[1]
 
 
+def test_work_is_linear(spark):
+    """A hundred thousand turns of changing roles, and as many of one role, each twice."""
+    for role in (lambda i: "user" if i % 2 else "assistant", lambda i: "user"):
+        rows = spark.range(100_000).selectExpr("1L AS conv_id", "CAST(id AS INT) AS turn", "concat('t', id) AS text", "explode(array(0, 1)) AS copy")
+        rows = rows.withColumn("role", F.when(F.col("turn") % 2 == 1, "user").otherwise("assistant") if role(0) == "assistant" else F.lit("user"))
+        began = time.perf_counter()
+        got = C.formatted(rows).first()
+        assert time.perf_counter() - began < 20
+        want = brute([(1, i, role(i), f"t{i}") for i in range(100_000)])[1]
+        assert (got["n_turns"], got["text"]) == want
+
+
 def test_query_against_sql(spark, sf, duck, same_rows):
     same_rows(C.op3_chat_formatting(spark, sf), duck.execute(C.ORACLE).df())
