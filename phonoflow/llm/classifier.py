@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonoflow.llm.hashing import distinct_per_text, mix64, text_buffers, words
+from phonoflow.plans.register import source
 from phonoflow.session import table
 
 BUCKETS = 1 << 17
@@ -207,6 +208,6 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, m
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The accepted documents with their scores."""
-    docs = table(spark, sf_dir, "documents")
+    docs = source(spark, sf_dir, "documents")
     score = score_column(docs, fit(docs, table(spark, sf_dir, "labels")))
     return docs.select("doc_id", F.round(score, 6).alias("quality_score")).where(F.col("quality_score") >= THRESHOLD)

@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonoflow.llm.tokens import TOKENIZER_DIR, encoding, token_ids
-from phonoflow.session import cut_lineage, ensure_checkpoint_dir, table
+from phonoflow.plans.register import source
+from phonoflow.session import cut_lineage, ensure_checkpoint_dir
 
 CAPACITY = 2048
 
@@ -194,4 +195,4 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, folder: str = TOKENIZER_DI
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in bins of CAPACITY tokens."""
-    return packed(table(spark, sf_dir, "documents"))
+    return packed(source(spark, sf_dir, "documents"))

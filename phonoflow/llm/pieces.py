@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from phonoflow.llm.hashing import mix64, text_buffers
 from phonoflow.llm.tokens import TOKENIZER_DIR
-from phonoflow.session import table
+from phonoflow.plans.register import source
 
 MODEL = "piece_bpe_32k.model"
 ALPHA = 1.0
@@ -303,4 +303,4 @@ def decoded(rows: DataFrame, key: str = "doc_id", pieces: str = "pieces", folder
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as sampled pieces, decoded again for the lossless flag."""
-    return encoded(table(spark, sf_dir, "documents"))
+    return encoded(source(spark, sf_dir, "documents"))

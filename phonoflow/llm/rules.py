@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonoflow.functions.common import let
-from phonoflow.session import cut_lineage, table
+from phonoflow.plans.register import source
+from phonoflow.session import cut_lineage
 
 SAMPLE_ROWS = 1000
 SPACE = "[ \t\r\n]+"
@@ -144,7 +145,7 @@ def accepted(docs: DataFrame, rules: list[Rule] = RULES, sample_rows: int = SAMP
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that all rules accept."""
-    return accepted(table(spark, sf_dir, "documents")).select("doc_id")
+    return accepted(source(spark, sf_dir, "documents")).select("doc_id")
 
 
 ORACLE = f"""

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from phonoflow.llm.tokens import TOKENIZER_DIR, encoding
-from phonoflow.session import table
+from phonoflow.plans.register import source
 
 MIN_CHARS = 20
 #: 999 of 1,000 random hexadecimal strings of 32 lie below; names and paths with digits start at about 2.7.
@@ -174,4 +174,4 @@ def redacted(docs: DataFrame, known: frozenset[str] = frozenset(), folder: str =
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every finding in all documents."""
-    return findings(table(spark, sf_dir, "documents"))
+    return findings(source(spark, sf_dir, "documents"))

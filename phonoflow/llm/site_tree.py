@@ -34,7 +34,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from phonoflow.session import cut_lineage, table
+from phonoflow.plans.register import source
+from phonoflow.session import cut_lineage
 
 DAMPING = 0.9
 THRESHOLD = 0.95
@@ -308,4 +309,4 @@ def extracted(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of every page."""
-    return extracted(table(spark, sf_dir, "pages"))
+    return extracted(source(spark, sf_dir, "pages"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonoflow.session import table
+from phonoflow.plans.register import source
 
 #: (pattern, action): a domain, with its subdomains, or host/path-prefix.
 DEFAULT_RULES = [
@@ -119,7 +119,7 @@ def default_rules(spark: SparkSession) -> DataFrame:
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decision for every page."""
-    return decisions(table(spark, sf_dir, "pages"), default_rules(spark))
+    return decisions(source(spark, sf_dir, "pages"), default_rules(spark))
 
 
 _VALUES = ", ".join(f"({i}, '{p}', '{a}')" for i, (p, a) in enumerate(DEFAULT_RULES))
