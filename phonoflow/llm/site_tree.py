@@ -10,7 +10,8 @@ but for inline ones beside a text that stays, which are words of its sentence. W
 
 Plan: one pass tells pages of a host apart by a hash of their DOM, and one shuffle of the pages leaves one of each. A second
 emits (host, element, style or text hash, pages) rows, pre-added by batch; two aggregations bring them to a row per element
-that at least two pages have, and a host's tree is folded in one group of those. A last pass prunes every row.
+that at least two pages have, in which styles of a single page are no more than counted, and a host's tree is folded in one
+group of those. A last pass prunes every row.
 Pages are joined with the noise of their host, by broadcast up to BROADCAST_ELEMENTS elements and by sort-merge beyond it.
 
 Defined results: null html gives null text, empty html the empty text. A page without a host belongs to no site: nothing
@@ -172,8 +173,12 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int64()), pa.array([seen[r] for r in rows], pa.int64()), pa.array([children.get(r) for r in rows], pa.list_(pa.int64()))], ["host", "element", "kind", "key", "pages", "children"])
 
 
-def composite_importance(elements: dict[int, tuple[int, list[tuple[int, list[int]]], float | None]], damping: float = DAMPING) -> dict[int, float]:
-    """element -> importance. ``elements`` has those that two pages or more share: pages, [(pages, children) by style], content importance of a text."""
+#: pages, [(pages, children) of each style that two pages or more share], styles of one page with and without children, content importance of a text
+Element = tuple[int, list[tuple[int, list[int]]], int, int, float | None]
+
+
+def composite_importance(elements: dict[int, Element], damping: float = DAMPING) -> dict[int, float]:
+    """element -> importance. ``elements`` has those that two pages or more share. What is below a style of one page is on that page alone, so it is important."""
     done: dict[int, float] = {}
     for start in elements:
         todo = [start]
@@ -182,7 +187,7 @@ def composite_importance(elements: dict[int, tuple[int, list[tuple[int, list[int
             if e in done:
                 todo.pop()
                 continue
-            pages, styles, content = elements[e]
+            pages, styles, lone, bare, content = elements[e]
             if content is not None:
                 done[e] = content
                 todo.pop()
@@ -191,25 +196,28 @@ def composite_importance(elements: dict[int, tuple[int, list[tuple[int, list[int
             if missing:
                 todo += missing
                 continue
-            total = sum(n for n, _ in styles)
+            total = sum(n for n, _ in styles) + lone + bare
             if not total:
                 done[e] = 0.0  # texts without a letter
                 continue
-            node = -sum(n / total * math.log(n / total) for n, _ in styles) / math.log(pages)
+            node = (-sum(n / total * math.log(n / total) for n, _ in styles) + (lone + bare) / total * math.log(total)) / math.log(pages)
             inner = [(n, kids) for n, kids in styles if kids]
-            below = sum(n * sum(done.get(c, 1.0) for c in kids) / len(kids) for n, kids in inner) / sum(n for n, _ in inner) if inner else 0.0
-            g = damping ** len(styles)
+            above = sum(n for n, _ in inner) + lone
+            below = (sum(n * sum(done.get(c, 1.0) for c in kids) / len(kids) for n, kids in inner) + lone) / above if above else 0.0
+            g = damping ** (len(styles) + lone + bare)
             done[e] = (1 - g) * min(1.0, node) + g * below
             todo.pop()
     return done
 
 
-def noisy_elements(elements: dict[int, tuple[int, list[tuple[int, list[int]]], float | None]], threshold: float = THRESHOLD) -> list[int]:
+def noisy_elements(elements: dict[int, Element], threshold: float = THRESHOLD) -> list[int]:
     """The elements that are, with all below them, of an importance up to the threshold. One that no two pages share is important."""
     importance = composite_importance(elements)
     parents: dict[int, list[int]] = defaultdict(list)
     good = [e for e, x in importance.items() if x > threshold]
-    for e, (_, styles, _) in elements.items():
+    for e, (_, styles, lone, _, _) in elements.items():
+        if lone:
+            good.append(e)
         for _, kids in styles:
             for c in kids:
                 parents[c].append(e)
@@ -227,9 +235,9 @@ def noisy_elements(elements: dict[int, tuple[int, list[tuple[int, list[int]]], f
 def _noise_of_host(threshold: float):
     def noise(t: pa.Table) -> pa.Table:
         elements = {}
-        for e, pages, styles, logs, texts in zip(*(t[c].to_pylist() for c in ("element", "pages", "styles", "logs", "texts")), strict=True):
+        for e, pages, styles, lone, bare, logs, texts in zip(*(t[c].to_pylist() for c in ("element", "pages", "styles", "lone", "bare", "logs", "texts")), strict=True):
             content = max(0.0, 1 - logs / texts / math.log(pages)) if texts else None
-            elements[e] = (pages, [(s["pages"], s["children"] or []) for s in sorted(styles, key=lambda s: s["key"])], content)
+            elements[e] = (pages, [(s["pages"], s["children"] or []) for s in sorted(styles, key=lambda s: s["key"])], lone, bare, content)
         return pa.table({"host": pa.array([t["host"][0].as_py()], pa.string()), "noise": pa.array([noisy_elements(elements, threshold)], pa.list_(pa.int64()))})
 
     return noise
@@ -249,7 +257,10 @@ def site_noise(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     is_ = lambda k: F.col("kind") == k
     elements = counts.groupBy("host", "element").agg(
         F.coalesce(F.sum(F.when(is_(0), F.col("pages"))), F.lit(0)).alias("pages"),
-        F.collect_list(F.when(is_(1), F.struct("key", "pages", "children"))).alias("styles"),
+        # styles of one page, of which the root of a large host may have one for each of its pages, are counted, not collected
+        F.collect_list(F.when(is_(1) & (F.col("pages") > 1), F.struct("key", "pages", "children"))).alias("styles"),
+        F.count(F.when(is_(1) & (F.col("pages") == 1) & (F.size("children") > 0), 1)).alias("lone"),
+        F.count(F.when(is_(1) & (F.col("pages") == 1) & (F.coalesce(F.size("children"), F.lit(0)) <= 0), 1)).alias("bare"),
         F.coalesce(F.sum(F.when(is_(2), F.log("pages"))), F.lit(0.0)).alias("logs"),
         F.count(F.when(is_(2), 1)).alias("texts"),
     )

@@ -113,3 +113,14 @@ def test_copies_of_pages_count_once(spark):
         rows = own + extra
         got = [(r["page_id"], r["text"]) for r in T.extracted(spark.createDataFrame(rows, SCHEMA)).collect()]
         assert sorted(got) == sorted((r[0], want[r[0] % 100]) for r in rows)
+
+
+def test_styles_of_one_page_are_counted(spark):
+    """Pages that each have their own body structure beside a shared foot: no row holds a struct for each page, and the foot goes."""
+    from pyspark.sql import functions as F
+
+    pages = [f"<body><div class=c{i}><p>Own text {i}<i>x{i}</i></div><div class=foot><p>The same on all</p></div></body>" for i in range(30)]
+    df = spark.createDataFrame([(i, f"http://a.example/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    noise = {int(n) for r in T.site_noise(df).collect() for n in r["noise"]}
+    assert noise == brute_noise(pages)
+    assert T.extracted(df).where(F.col("text").contains("Own text")).count() == 30
