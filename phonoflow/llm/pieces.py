@@ -7,8 +7,8 @@ with its share of the forward weight. A path's probability is proportional to th
 1/(2 + merge rank) to the power ALPHA, so a larger ALPHA keeps nearer to the best path.
 
 The draws come from a counter hash of (seed, row key, chunk number, step): a row gives the same pieces in any partitioning,
-on any machine, at any retry. Everything is done for all chunks of a slice at once on byte arrays; equal chunks share
-their lattice. One Arrow pass, no shuffle.
+on any machine, at any retry. Everything is done for all chunks of a slice at once on byte arrays, long chunks one by one;
+equal chunks share their lattice. One Arrow pass, no shuffle.
 
 Decoding joins the pieces' bytes and takes off the space that encoding puts in front; it gives back every text byte by
 byte: spaces aren't collapsed, nothing is normalised, and a literal U+2581 goes by bytes.
@@ -19,6 +19,8 @@ encoded alike. Extra columns aren't looked at.
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -38,6 +40,8 @@ ALPHA = 1.0
 SEED = 17
 _SLICE = 1 << 20
 _BYTE_WEIGHT = -12.0
+#: Bytes from which a chunk is sampled by itself: a step for all chunks at once would serve it alone.
+LONG_CHUNK = 256
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -155,14 +159,19 @@ def _sampled(d: np.ndarray, begin: np.ndarray, inverse: np.ndarray, noise: np.nd
     order = np.argsort(e * 1024 + (e - s))  # by end, then length: no two arcs share both
     s, e, piece, chunk = s[order], e[order], piece[order], chunk[order]
     weight = alpha * voc.weight[piece]
-    # forward filtering, by the distance of an arc's end from its chunk's start
-    depth = e - first[chunk]
-    deepest = int(length.max())
-    order = np.argsort(depth.astype(np.uint16 if deepest < 1 << 16 else np.int64), kind="stable")
-    so, eo, wo = s[order], e[order], weight[order]
+    # forward filtering, by the distance of an arc's end from its chunk's start; long chunks one by one
     total = np.full(len(d) + n_chunks, -np.inf)
     total[first] = 0.0
-    cut = np.searchsorted(depth[order], np.arange(1, deepest + 2))
+    # scaled sums need the weights within an arc's reach to be numbers
+    long = (length > LONG_CHUNK) & (-float(weight.min()) * int((e - s).max()) < 600)
+    for c in np.flatnonzero(long):
+        lo, hi = np.searchsorted(e, [first[c], first[c] + length[c] + 1])
+        total[first[c] : first[c] + length[c] + 1] = _forward(s[lo:hi] - first[c], e[lo:hi] - first[c], weight[lo:hi], int(length[c]))
+    depth, deepest = e - first[chunk], int(length[~long].max()) if not long.all() else 0
+    order = np.argsort(depth.astype(np.uint16 if length.max() < 1 << 16 else np.int64), kind="stable")
+    order = order[~long[chunk[order]]] if long.any() else order
+    so, eo, wo, depth = s[order], e[order], weight[order], depth[order]
+    cut = np.searchsorted(depth, np.arange(1, deepest + 2))
     for a, b in zip(cut[:-1], cut[1:], strict=True):
         if a == b:
             continue
@@ -185,15 +194,17 @@ def _sampled(d: np.ndarray, begin: np.ndarray, inverse: np.ndarray, noise: np.nd
     run -= np.repeat(run[g] - share[g], size)
     key = e + np.minimum(run / np.repeat(run[g + size - 1], size), 1.0)
     key[g + size - 1] = e[g + size - 1] + 1.0
-    # backward sampling of all occurrences at once
+    # backward sampling of all occurrences at once, but for those of long chunks
     occ = np.argsort(inverse, kind="stable")
-    at, floor, base = (first + length)[inverse[occ]], first[inverse[occ]], noise[occ]
+    ends_of = first + length
+    late = occ[long[inverse[occ]]]
+    occ = occ[~long[inverse[occ]]]
+    at, floor, base = ends_of[inverse[occ]], first[inverse[occ]], noise[occ]
     count = np.zeros(len(inverse), np.int64)
     steps: list[tuple[np.ndarray, np.ndarray]] = []
     step = 0
     while len(occ):
-        u = (mix64(base + np.uint64((step * 0xD1342543DE82EF95) & (2**64 - 1))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-        arc = np.searchsorted(key, at + u, side="right")
+        arc = np.searchsorted(key, at + _draws(base, np.uint64(step)), side="right")
         arc = np.minimum(arc, len(key) - 1)
         arc -= e[arc] > at  # the sum may have rounded up to the next node
         steps.append((occ, piece[arc]))
@@ -202,13 +213,66 @@ def _sampled(d: np.ndarray, begin: np.ndarray, inverse: np.ndarray, noise: np.nd
         more = at > floor
         occ, at, floor, base = occ[more], at[more], floor[more], base[more]
         step += 1
+    alone: list[tuple[int, np.ndarray]] = []
+    lists, listed = ([], [], []), -1
+    for o in late.tolist():
+        c = int(inverse[o])
+        lo, hi = np.searchsorted(e, [first[c], ends_of[c] + 1])
+        if c != listed:  # equal chunks lie side by side
+            lists, listed = (key[lo:hi].tolist(), s[lo:hi].tolist(), e[lo:hi].tolist()), c
+        picked = _backward(*lists, int(first[c]), int(ends_of[c]), _draws(noise[o], np.arange(int(length[c]), dtype=np.uint64)).tolist())
+        alone.append((o, piece[lo + np.array(picked, np.int64)]))
+        count[o] = len(picked)
     end = np.cumsum(count)
     out = np.empty(int(end[-1]) if len(end) else 0, np.int32)
     for k, (o, p) in enumerate(steps):
         out[end[o] - 1 - k] = p
+    for o, p in alone:
+        out[end[o] - len(p) : end[o]] = p[::-1]
     return out, count
 
 
+def _draws(base: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Uniform draws in [0, 1) by a counter hash."""
+    with np.errstate(over="ignore"):
+        return (mix64(base + step * np.uint64(0xD1342543DE82EF95)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
+
+def _forward(s: np.ndarray, e: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Log sums of path weights from node 0 to each of n + 1; arcs come by their ends.
+
+    Sums are kept as numbers, not logs, and those within an arc's reach are scaled whenever they get small or large.
+    """
+    sums, value, scaled = [1.0] + [0.0] * n, [1.0] + [0.0] * n, [0.0] * (n + 1)
+    at, scale, reach = 0, 0.0, int((e - s).max())
+    for a, b, w in zip(s.tolist(), e.tolist(), np.exp(weight).tolist(), strict=True):
+        if b != at:
+            x = value[at] = sums[at]
+            scaled[at] = scale
+            if 0.0 < x < 1e-100 or x > 1e100:
+                for k in range(max(0, at - reach), at + 1):
+                    sums[k] /= x
+                scale += math.log(x)
+            at = b
+        sums[b] += sums[a] * w
+    value[at], scaled[at] = sums[at], scale
+    with np.errstate(divide="ignore"):
+        return np.log(np.array(value)) + np.array(scaled)
+
+
+def _backward(key: list[float], s: list[int], e: list[int], first: int, last: int, draws: list[float]) -> list[int]:
+    """The arcs of one path, from its end."""
+    at, picked = last, []
+    for u in draws:
+        arc = min(bisect_right(key, at + u), len(key) - 1)
+        arc -= e[arc] > at
+        picked.append(arc)
+        at = s[arc]
+        if at <= first:
+            break
+    return picked
+
+
 def encode_slice(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, voc: Vocabulary, seed: int = SEED, alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray]:
     """(pieces, their number by text) of texts by their bytes and offsets."""
     size = np.diff(offsets)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -105,3 +107,29 @@ def test_odd_rows(odd_docs, no_docs):
     assert back == sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in odd_docs.collect())
     assert P.encoded(no_docs).count() == 0
     assert P.decoded(P.encoded(no_docs)).count() == 0
+
+
+def test_long_chunks_give_the_same_pieces(monkeypatch):
+    """Texts without a space, sampled alone and with all chunks at once."""
+    rng = np.random.default_rng(9)
+    voc = P.vocabulary()
+    texts = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 3000)) + " abc " + "漢字かな" * 200, "a" * 2000, "a" * 2000, "\n" + "x1" * 700 + "🙂" * 90]
+    data, offsets = P.text_buffers(pa.array(texts))
+    keys = np.array([5, 6, 7, 8], np.uint64)
+    for alpha in (1.0, 0.3, 40.0):
+        alone = P.encode_slice(data, offsets, keys, voc, alpha=alpha)
+        with monkeypatch.context() as m:
+            m.setattr(P, "LONG_CHUNK", 1 << 40)
+            together = P.encode_slice(data, offsets, keys, voc, alpha=alpha)
+        assert np.array_equal(alone[0], together[0])
+        assert np.array_equal(alone[1], together[1])
+
+
+def test_endless_texts_take_linear_time(spark):
+    """A megabyte without a space is lossless, and no step of the work is done for each byte of it by all chunks."""
+    rng = np.random.default_rng(10)
+    texts = ["".join(rng.choice(list("ABCDEFGHabcdefgh0123456789+/"), 1_000_000)), "漢" * 300_000]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    began = time.perf_counter()
+    assert [r["lossless"] for r in P.encoded(docs).collect()] == [True, True]
+    assert time.perf_counter() - began < 30
