@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonoflow.plans.register import source
+from phonoflow.session import cut_lineage
 
 #: (pattern, action): a domain, with its subdomains, or host/path-prefix.
 DEFAULT_RULES = [
@@ -95,7 +96,7 @@ def decided(keys: DataFrame, rules: DataFrame, parts: int | None = None) -> Data
     spread = prefixes.withColumns({"lo": part_of("key"), "hi": part_of(F.concat("key", F.lit("\U0010ffff")))})
     left = spread.select(F.explode(F.sequence("lo", "hi")).alias("part"), "key", F.lit(0).alias("kind"), "action", "id")
     right = keys.select(part_of("key").alias("part"), F.col("key"), F.lit(1).alias("kind"), F.lit("").alias("action"), F.col("id").cast("long").alias("id"))
-    merged = left.unionByName(right).repartition(parts, "part").sortWithinPartitions("part", "key", "kind", "action", F.col("id").desc())
+    merged = left.unionByName(right).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "key", "kind", "action", F.col("id").desc())
     return merged.mapInArrow(_sweep, "id long, rule_id long, action string")
 
 
@@ -107,9 +108,10 @@ def decisions(pages: DataFrame, rules: DataFrame, parts: int | None = None) -> D
 
 def accepted(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """The rows of ``pages`` that aren't blocked; columns as they were."""
-    urls = pages.select(pages["url"].alias("_url")).where("_url is not null").distinct().select(F.xxhash64("_url").alias("id"), "_url")
-    out = decided(urls.select("id", url_key(F.col("_url")).alias("key")), rules).where("action = 'block'").select(F.col("id").alias("_blocked"))
-    return pages.join(out, F.xxhash64(pages["url"]) == out["_blocked"], "left_anti")
+    urls = cut_lineage(pages.select(pages["url"].alias("_url")).where("_url is not null").distinct().withColumn("_id", F.monotonically_increasing_id()))
+    out = decided(urls.select(F.col("_id").alias("id"), url_key(F.col("_url")).alias("key")), rules).where("action = 'block'").select(F.col("id").alias("_blocked"))
+    blocked = urls.join(out, F.col("_id") == F.col("_blocked")).select("_url")
+    return pages.join(blocked, pages["url"] == blocked["_url"], "left_anti")
 
 
 def default_rules(spark: SparkSession) -> DataFrame:

@@ -61,3 +61,13 @@ def test_no_pages_and_no_rules(spark):
     one = spark.createDataFrame([(1, "http://a.org/")], "page_id long, url string")
     got = U.decisions(one, U.default_rules(spark).limit(0)).first()
     assert (got["rule_id"], got["keep"]) == (-1, True)
+
+
+def test_very_long_urls(spark):
+    """Urls of hundreds of kilobytes are decided like any other."""
+    path = "x" * 300_000
+    pages = spark.createDataFrame([(1, f"http://a.example/{path}"), (2, f"http://b.example/{path}"), (3, f"http://{'s.' * 50_000}b.example/"), (4, f"http://b.example/{path}")], "page_id long, url string")
+    rules = spark.createDataFrame([(7, "b.example", "block"), (8, f"b.example/{path[:200_000]}", "allow")], "rule_id long, pattern string, action string")
+    got = {r["page_id"]: (r["rule_id"], r["keep"]) for r in U.decisions(pages, rules).collect()}
+    assert got == {1: (-1, True), 2: (8, True), 3: (7, False), 4: (8, True)}
+    assert {r["page_id"] for r in U.accepted(pages, rules).collect()} == {1, 2, 4}
