@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonoflow.functions import text as X
@@ -30,8 +30,7 @@ def product(spark: SparkSession, fmt: str, slots: list[list[str]]) -> DataFrame:
 
 def sampled(rows: DataFrame, n: int, seed: int = 42, by: str = "sentence") -> DataFrame:
     """``n`` rows by a seeded hash of their content: the same rows in any partitioning."""
-    w = Window.orderBy(F.xxhash64(by, F.lit(seed)), by)
-    return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+    return rows.orderBy(F.xxhash64(by, F.lit(seed)), by).limit(n)  # each task keeps its n best
 
 
 def generated(spark: SparkSession, templates: list[tuple[str, list[list[str]]]] = TEMPLATES, seed: int = 42) -> DataFrame:

@@ -18,6 +18,8 @@ from phonoflow.session import cut_lineage
 
 START, END = "<s>", "</s>"
 LN10 = 2.302585092994046
+#: Pairs of words that a broadcast may hold.
+BROADCAST_ROWS = 1_000_000
 
 
 def padded(words: Column) -> Column:
@@ -48,6 +50,29 @@ def counts(sentences: DataFrame, n: int, words: str = "words") -> DataFrame:
     return grams.groupBy(*[F.col(f"g.w{k + 1}").alias(f"w{k + 1}") for k in range(n)]).agg(F.count("*").alias("c"))
 
 
+def windows(sentences: DataFrame, n: int, words: str = "words", among: DataFrame | None = None) -> DataFrame:
+    """(w1..wn, c): what stands at every place of all sentences and behind it, nulls beyond the end.
+
+    One pass over the text has the counts of all orders up to n; see :func:`rolled`. With ``among`` only those places count
+    whose first words are a row of it; a small one is broadcast, so that the others aren't shuffled.
+    """
+
+    def make(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.struct(*[F.get(w, i + k).alias(f"w{k + 1}") for k in range(n)]))
+
+    grams = sentences.where(F.size(words) > 0).select(F.explode(let(padded(F.col(words)), make)).alias("g")).select("g.*")
+    if among is not None:
+        grams = grams.join(F.broadcast(among) if among.count() <= BROADCAST_ROWS else among, among.columns, "left_semi")
+    return grams.groupBy(*grams.columns).agg(F.count("*").alias("c"))
+
+
+def rolled(found: DataFrame, n: int) -> DataFrame:
+    """A1: (w1..wn, c) of :func:`windows` of the same or a larger size."""
+    names = [f"w{k + 1}" for k in range(n)]
+    whole = found.where(F.col(names[-1]).isNotNull())
+    return whole if f"w{n + 1}" not in found.columns else whole.groupBy(*names).agg(F.sum("c").alias("c"))
+
+
 def context_totals(grams: DataFrame, n: int) -> DataFrame:
     """A3: (history, n_h, t_h): how often, and with how many successors, a history occurs."""
     history = [f"w{k + 1}" for k in range(n - 1)]
@@ -95,18 +120,29 @@ def backoff_bigrams(p_tri: DataFrame, p_bi: DataFrame) -> DataFrame:
     return sums.select(F.col("w1").alias("h2"), F.col("w2").alias("h1"), _weight(F.col("u"), F.col("l")).alias("bo"))
 
 
-def build(sentences: DataFrame, order: int = 3, words: str = "words", oov: float = 0.0) -> NGramModel:
-    """The smoothed model of a corpus. Counts are kept in the checkpoint folder, as every order needs those of the one below."""
+def build(sentences: DataFrame, order: int = 3, words: str = "words", oov: float = 0.0, queries: DataFrame | None = None) -> NGramModel:
+    """The smoothed model of a corpus. The text is read once; the counts of the highest order are kept in the checkpoint folder and rolled up.
+
+    With ``queries`` (h2, h1, w) only what they can ask for is smoothed: n-grams of their histories, whole ones, so that
+    every value is that of the whole model.
+    """
     order = clamp_order(order)
-    kept = {n: cut_lineage(counts(sentences, n, words)) for n in range(1, order + 1)}
-    p1 = witten_bell_unigrams(kept[1])
-    p2 = witten_bell(kept[2], 2)
+    if queries is None:
+        found = cut_lineage(windows(sentences, order, words))
+        uni, two, three = rolled(found, 1), rolled(found, 2), None if order == 2 else rolled(found, 3)
+    else:
+        found = cut_lineage(windows(sentences, 2, words))
+        asked = cut_lineage(queries.select(F.col("h2").alias("w1"), F.col("h1").alias("w2")).distinct())
+        uni, two = rolled(found, 1), rolled(found, 2).join(asked.select(F.col("w2").alias("w1")).distinct(), "w1", "left_semi")
+        three = None if order == 2 else rolled(windows(sentences, 3, words, asked.where("w1 is not null")), 3)
+    p1 = cut_lineage(witten_bell_unigrams(uni))
+    p2 = cut_lineage(witten_bell(two, 2))
     bo1 = backoff_unigrams(p2, p1).withColumnRenamed("h", "w")
     uni = p1.join(bo1, "w", "left").select("w", F.log10("p").alias("lp"), F.coalesce("bo", F.lit(0.0)).alias("bo"))
     two = p2.select(F.col("w1").alias("h"), F.col("w2").alias("w"), F.log10("p").alias("lp"))
     if order == 2:
         return NGramModel(2, uni, two.withColumn("bo", F.lit(0.0)), None, oov)
-    p3 = witten_bell(kept[3], 3)
+    p3 = cut_lineage(witten_bell(three, 3))
     bo2 = backoff_bigrams(p3, p2).select(F.col("h2").alias("h"), F.col("h1").alias("w"), "bo")
     bi = two.join(bo2, ["h", "w"], "left").select("h", "w", "lp", F.coalesce("bo", F.lit(0.0)).alias("bo"))
     tri = p3.select(F.col("w1").alias("h2"), F.col("w2").alias("h1"), F.col("w3").alias("w"), F.log10("p").alias("lp"))
@@ -160,12 +196,16 @@ def scored(model: NGramModel, queries: DataFrame) -> DataFrame:
     return q.select(*queries.columns, lp.alias("lp"))
 
 
+def sentence_tokens(sentences: DataFrame, key: str, words: str = "words") -> DataFrame:
+    """(key, h2, h1, w): every word and the end mark with full histories; null before the start mark."""
+    items = let(padded(F.col(words)), lambda p: F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.struct(F.get(p, i - 2).alias("h2"), F.get(p, i - 1).alias("h1"), F.get(p, i).alias("w"))))
+    return sentences.select(key, F.explode(items).alias("t")).select(key, "t.h2", "t.h1", "t.w")
+
+
 def sentence_scores(model: NGramModel, sentences: DataFrame, key: str, words: str = "words") -> DataFrame:
     """L2: (key, n_tokens, n_oov, log_prob): natural log-probability with both sentence marks and full histories."""
-    items = let(padded(F.col(words)), lambda p: F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.struct(F.get(p, i - 2).alias("h2"), F.get(p, i - 1).alias("h1"), F.get(p, i).alias("w"))))
-    tokens = sentences.select(key, F.explode(items).alias("t")).select(key, "t.h2", "t.h1", "t.w")
     known = model.uni.select(F.col("w").alias("_k"))
-    rows = scored(model, tokens).join(known, F.col("w") == F.col("_k"), "left")
+    rows = scored(model, sentence_tokens(sentences, key, words)).join(known, F.col("w") == F.col("_k"), "left")
     return rows.groupBy(key).agg(F.count("*").alias("n_tokens"), F.count(F.when(F.col("_k").isNull(), 1)).alias("n_oov"), F.sum("lp").alias("log_prob"))
 
 

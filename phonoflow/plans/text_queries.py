@@ -84,9 +84,8 @@ def wb_trigram_prob(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {_DOCS}, {_G1}, {_G2}, {_P1}, {_P2}, {_BO1} SELECT h, round(bo, 6) AS bo FROM b1")
 def backoff_weights(spark: SparkSession, sf: str) -> DataFrame:
     """A5."""
-    docs = documents(spark, sf)
-    p1, p2 = lm.witten_bell_unigrams(lm.counts(docs, 1)), lm.witten_bell(lm.counts(docs, 2), 2)
-    return lm.backoff_unigrams(p2, p1).select("h", F.round("bo", 6).alias("bo"))
+    found = cut_lineage(lm.windows(documents(spark, sf), 2))
+    return lm.backoff_unigrams(lm.witten_bell(lm.rolled(found, 2), 2), lm.witten_bell_unigrams(lm.rolled(found, 1))).select("h", F.round("bo", 6).alias("bo"))
 
 
 _CHAIN = f"{_DOCS}, {_G1}, {_G2}, {_G3}, {_P1}, {_P2}, {_P3}, {_BO1}, {_BO2}"
@@ -115,9 +114,10 @@ z AS (SELECT item_id, u.w IS NULL AS oov,
 SELECT item_id, count(*) AS n_tokens, count(*) FILTER (oov) AS n_oov, round(sum(lp), 4) AS log_prob FROM z GROUP BY item_id"""
 )
 def lm_score_backoff(spark: SparkSession, sf: str) -> DataFrame:
-    """Benchmark under the trigram model of documents."""
-    model = lm.natural(lm.build(documents(spark, sf), 3, oov=OOV))
-    got = lm.sentence_scores(model, words_of(table(spark, sf, "benchmark").where("text is not null"), "item_id"), "item_id")
+    """Benchmark under the trigram model of documents."""
+    lines = words_of(table(spark, sf, "benchmark").where("text is not null"), "item_id")
+    model = lm.natural(lm.build(documents(spark, sf), 3, oov=OOV, queries=lm.sentence_tokens(lines, "item_id")))
+    got = lm.sentence_scores(model, lines, "item_id")
     return got.select("item_id", "n_tokens", "n_oov", F.round("log_prob", 4).alias("log_prob"))
 
 
@@ -356,12 +356,16 @@ def names_and_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", X.wav_name(F.col("url")).alias("wav"), F.coalesce(F.get(X.numbers(digits, "int"), F.lit(0)), F.lit(-1)).alias("number"))
 
 
-@query()
+@query(
+    f"""WITH {_DOCS}, {_G1}, {_G2}, {_P1}, {_P2}, {_BO1},
+r AS (SELECT 1 AS ord, w AS ngram, log10(p) AS lp, coalesce(bo, 0.0) AS bo FROM p1 LEFT JOIN b1 ON w = h UNION ALL SELECT 2, w1 || ' ' || w2, log10(p), 0.0 FROM p2)
+SELECT CAST(ord AS INTEGER) AS ord, ngram, round(CAST(printf('%.6f', lp) AS DOUBLE) * 2.302585092994046, 5) + 0.0 AS log_prob, round(CAST(printf('%.6f', bo) AS DOUBLE) * 2.302585092994046, 5) + 0.0 AS log_backoff FROM r"""
+)
 def language_model_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """The model of documents as lines of a file, read back from them."""
     from phonoflow.sources.readers import arpa_grams
     from phonoflow.sources.writers import arpa_lines
 
-    lines = cut_lineage(arpa_lines(lm.build(documents(spark, sf), 2)))
-    numbered = lines.orderBy("part", "ngram").select("value", F.monotonically_increasing_id().alias("pos"))
-    return arpa_grams(numbered).select("ord", X.join_words(F.col("words")).alias("ngram"), F.round("log_prob", 5).alias("log_prob"), F.round("log_backoff", 5).alias("log_backoff"))
+    lines = arpa_lines(lm.build(documents(spark, sf), 2))
+    numbered = cut_lineage(lines.orderBy("part", "ngram").select("value", F.monotonically_increasing_id().alias("pos")))
+    return arpa_grams(numbered).select("ord", X.join_words(F.col("words")).alias("ngram"), (F.round("log_prob", 5) + 0.0).alias("log_prob"), (F.round("log_backoff", 5) + 0.0).alias("log_backoff"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonoflow.functions import text as X
@@ -10,6 +10,10 @@ from phonoflow.operators.lm import LN10, NGramModel
 from phonoflow.operators.lexicon import numbered
 
 
+#: an ARPA file has one for each order, one before and one behind
+MOST_HEADERS = 100
+
+
 def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
     """Lines (value) with their order (pos) and file; pos orders the lines of a file, and of files by their name's partition."""
     lines = spark.read.text(list(paths)).withColumn("file", F.col("_metadata.file_path"))
@@ -35,12 +39,19 @@ def read_dictionary(spark: SparkSession, *paths: str, strict: bool = True) -> Da
 def arpa_grams(lines: DataFrame) -> DataFrame:
     """(ord, words, log_prob, log_backoff), natural logs, of the lines (value, pos) of one file in the ARPA format.
 
-    A line's section is the last header before it: one pass of a window over positions. Declared counts are ignored.
+    A line's section is the last header before it. There is a header an order, so their positions are collected (at most
+    MOST_HEADERS) and each line is compared with them; nothing is sorted, and positions have to be the same each time they
+    are asked for, as those of a file or a table are. Declared counts are ignored.
     """
-    w = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     t = lines.withColumn("line", X.trim_u(F.col("value")))
     head = F.when(F.col("line") == "\\data\\", F.lit(0)).when(F.col("line") == "\\end\\", F.lit(-1)).when(F.col("line").rlike(r"^\\\d+-grams:$"), F.regexp_extract("line", r"^\\(\d+)-grams:$", 1).cast("int"))
-    rows = t.withColumn("ord", F.last(head, ignorenulls=True).over(w)).where((F.col("ord") > 0) & (F.col("line") != "") & ~F.startswith("line", F.lit("\\")))
+    heads = sorted((r["pos"], r["ord"]) for r in t.select("pos", head.alias("ord")).where("ord is not null").limit(MOST_HEADERS + 1).collect())
+    if len(heads) > MOST_HEADERS:
+        raise ValueError(f"more than {MOST_HEADERS} section headers")
+    section = F.lit(0)
+    for pos, n in heads:  # the last one before the line decides
+        section = F.when(F.col("pos") > pos, F.lit(n)).otherwise(section)
+    rows = t.withColumn("ord", section).where((F.col("ord") > 0) & (F.col("line") != "") & ~F.startswith("line", F.lit("\\")))
     f = rows.withColumn("f", X.fields_u(F.col("line")))
     enough = F.size("f") >= F.col("ord") + 1
     good = f.withColumn("lp", _checked(enough, F.get("f", F.lit(0)), F.concat(F.lit("too few fields in n-gram line: "), F.col("line"))).cast("double"))
@@ -90,7 +101,7 @@ def read_validated(spark: SparkSession, path: str) -> DataFrame:
 
 def read_transcripts(spark: SparkSession, root: str) -> DataFrame:
     """(subset, utt, sentence, wav_path) of root/*/transcript_utf8.txt; a line is id:sentence, split at its first colon."""
-    lines = spark.read.option("ignoreMissingFiles", "true").text(f"{root}/*/transcript_utf8.txt").select("value", F.regexp_replace("_metadata.file_path", "^file:(//)?", "").alias("file"))
+    lines = spark.read.option("ignoreMissingFiles", "true").text(f"{root}/*/transcript_utf8.txt").select("value", F.regexp_replace(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), "^file:(//)?", "").alias("file"))
     folder = F.regexp_replace("file", "/[^/]*$", "")
     utt, sentence = (X.trim_u(F.regexp_extract("value", r"^([^:]*):(.*)$", i)) for i in (1, 2))
     rows = lines.select(F.substring_index(folder, "/", -1).alias("subset"), utt.alias("utt"), sentence.alias("sentence"), F.concat(folder, F.lit("/wav/"), utt, F.lit(".wav")).alias("wav_path"))
@@ -102,9 +113,12 @@ def read_lexicon_csv(spark: SparkSession, *paths: str, encoding: str = "UTF-8")
     from phonoflow.functions.phonemes import kana_to_phonemes
 
     names = [f"c{i}" for i in range(13)]
-    rows = spark.read.csv(list(paths), schema=", ".join(f"{n} string" for n in names), encoding=encoding, mode="PERMISSIVE", escape='"')
+    schema = ", ".join(f"{n} string" for n in [*names, "_odd"])
+    rows = spark.read.csv(list(paths), schema=schema, encoding=encoding, mode="PERMISSIVE", escape='"', columnNameOfCorruptRecord="_odd")
+    # a line of other than 13 fields is odd; an empty field is null, so whether there are enough is told from the line
+    enough = F.col("_odd").isNull() | (F.size(F.split("_odd", ",")) >= 13)
     reading = X.pronunciation(F.col("c12"), F.col("c11"))
-    got = rows.where(F.col("c12").isNotNull() & F.col("c0").isNotNull()).select(F.col("c0").alias("word"), reading.alias("reading")).where("reading is not null")
+    got = rows.where(enough & F.col("c0").isNotNull()).select(F.col("c0").alias("word"), reading.alias("reading")).where("reading is not null")
     made = got.withColumn("phonemes", kana_to_phonemes(F.col("reading"))).where(F.size("phonemes") > 0)
     return made.dropDuplicates(["word", "reading"]).orderBy("word", "reading")
 
