@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from phonoflow.functions import kernels as K
 from phonoflow.functions import phonemes as P
+from phonoflow.functions.common import let
 from phonoflow.operators.features import matrix
 
 STATE_SCHEMA = "name string, phoneme string, state int, mix int, mean array<double>, var array<double>, log_weight double"
@@ -85,9 +86,16 @@ def gaussian_log(x: Column, mean: Column, var: Column) -> Column:
 
 
 def mixture_log(rows: DataFrame, by: list[str], log: str = "lp") -> DataFrame:
-    """Log-sum-exp of ``log`` over ``by`` in one aggregation pair, shifted by the maximum."""
+    """(by, lp, n): log-sum-exp of ``log`` over ``by`` in one aggregation pair, shifted by the maximum, and how many there are."""
     top = rows.groupBy(*by).agg(F.max(log).alias("_top"), F.collect_list(log).alias("_all"))
-    return top.select(*by, (F.col("_top") + F.log(F.aggregate("_all", F.lit(0.0), lambda s, v: s + F.exp(v - F.col("_top"))))).alias(log))
+    total = F.col("_top") + F.log(F.aggregate("_all", F.lit(0.0), lambda s, v: s + F.exp(v - F.col("_top"))))
+    return top.select(*by, total.alias(log), F.size("_all").alias("n"))
+
+
+def posteriors(mixes: Column) -> Column:
+    """(mix, p) of an array of (mix, lp): each one's share of the sum."""
+    top = F.array_max(F.transform(mixes, lambda m: m.lp))
+    return let(mixes, lambda a: let(top, lambda t: let(F.aggregate(a, F.lit(0.0), lambda s, m: s + F.exp(m.lp - t)), lambda z: F.transform(a, lambda m: F.struct(m.mix.alias("mix"), (F.exp(m.lp - t) / z).alias("p"))))))
 
 
 def frame_likelihood(rows: DataFrame, utt: str, frame: str, log: str = "lp") -> DataFrame:

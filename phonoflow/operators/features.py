@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from phonoflow.functions import kernels as K
 from phonoflow.functions.common import let
+from phonoflow.functions.signal import lifter_weights
 
 FEATURES = "array<array<double>>"
 
@@ -78,6 +79,20 @@ def dft_power(frame: Column, n_fft: int) -> Column:
     return run(frame)
 
 
+def cepstra(frame: Column, n_fft: int, bank: np.ndarray, count: int, lifter: int = 22) -> Column:
+    """D5, D9-D11 of one frame per row: spectrum, filters and transform as matrix products over a batch."""
+
+    @F.arrow_udf("array<double>")
+    def run(x: pa.Array) -> pa.Array:
+        if not len(x):
+            return pa.array([], pa.list_(pa.float64()))
+        p = K.power_spectrum(np.asarray(x.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(x), -1), n_fft)
+        c = np.log(np.maximum(p @ bank.T, 1e-30)) @ K.dct_matrix(len(bank), count).T * np.array(lifter_weights(count, lifter))
+        return pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * count, pa.array(c.ravel()))
+
+    return run(frame).alias("cepstra")
+
+
 def features_from_spectra(spectra: Column, cfg: K.FeatureConfig = K.FeatureConfig()) -> Column:  # noqa: B008
     """D17."""
 

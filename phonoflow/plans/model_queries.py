@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,9 +47,8 @@ def gaussian_loglik(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {_X}, {_LONG}, {_STATS}, {_LOGS}, t AS (SELECT *, max(lp) OVER (PARTITION BY vec_id) AS top FROM c) SELECT vec_id, round(any_value(top) + ln(sum(exp(lp - top))) - ln(count(*)), 4) AS lp FROM t GROUP BY vec_id")
 def gmm_logsumexp(spark: SparkSession, sf: str) -> DataFrame:
     """The classes as equal mixtures."""
-    logs = class_logs(spark, sf)
-    n = logs.groupBy("vec_id").agg(F.count("*").alias("n"))
-    return A.mixture_log(logs, ["vec_id"]).join(n, "vec_id").select("vec_id", F.round(F.col("lp") - F.log("n"), 4).alias("lp"))
+    got = A.mixture_log(class_logs(spark, sf), ["vec_id"])
+    return got.select("vec_id", F.round(F.col("lp") - F.log("n"), 4).alias("lp"))
 
 
 @query(f"WITH {_X}, {_LONG}, {_STATS}, {_LOGS} SELECT label, round(sum(m), 3) AS score FROM (SELECT label, vec_id, max(lp) AS m FROM c GROUP BY label, vec_id) GROUP BY label")
@@ -69,8 +69,10 @@ def em_step(spark: SparkSession, sf: str) -> DataFrame:
     stats = A.gaussian_statistics(e, "mix", "x").groupBy("mix").agg(F.sort_array(F.collect_list(F.struct("dim", "mean", "var"))).alias("s"))
     models = stats.select("mix", F.transform("s", lambda r: r["mean"]).alias("mean"), F.transform("s", lambda r: r["var"]).alias("var"))
     logs = e.drop("mix").crossJoin(F.broadcast(models)).select("vec_id", "x", "mix", (A.gaussian_log(F.col("x"), F.col("mean"), F.col("var")) - F.log(F.lit(2.0))).alias("lp"))
-    total = A.mixture_log(logs, ["vec_id"], "lp").withColumnRenamed("lp", "total")
-    post = logs.join(total, "vec_id").select("mix", F.exp(F.col("lp") - F.col("total")).alias("p"), F.posexplode("x").alias("dim", "v"))
+    # a vector's mixtures are one small array, so its total and its shares come from one evaluation
+    mixes = logs.groupBy("vec_id").agg(F.first("x").alias("x"), F.collect_list(F.struct("mix", "lp")).alias("m"))
+    shares = mixes.select("x", F.explode(A.posteriors(F.col("m"))).alias("r"))
+    post = shares.select("r.mix", "r.p", F.posexplode("x").alias("dim", "v"))
     g = post.groupBy("mix", "dim").agg(F.sum("p").alias("o"), F.sum(F.col("p") * F.col("v")).alias("a"), F.sum(F.col("p") * F.col("v") * F.col("v")).alias("b"))
     mean = F.col("a") / F.col("o")
     return g.select("mix", "dim", F.round("o", 5).alias("occupancy"), (F.round(mean, 5) + 0.0).alias("mean"), F.round(F.greatest(F.col("b") / F.col("o") - mean * mean, F.lit(0.01)), 5).alias("var"))
@@ -120,14 +122,97 @@ def em_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("name", "state", "mix", "n", F.round("ll", 3).alias("ll"), F.round("occupancy", 4).alias("occupancy"), F.transform("first", lambda v: F.round(v, 4)).alias("first"))
 
 
-@query()
+_ALIGNED = ("sil", "a", "k", "sil")
+
+
+def _means() -> str:
+    """(pos, phoneme, state, mix, dim, mean) of the models of _ALIGNED: states and dimensions from 1."""
+    model = _two_models(4)
+    rows = [f"({p * 3 + s + 1}, {m}, {d + 1}, {float(model[name].mean[s, m, d])!r}::DOUBLE)" for p, name in enumerate(_ALIGNED) for s in range(3) for m in range(2) for d in range(4)]
+    return "(VALUES " + ", ".join(rows) + ") AS q(s, mix, dim, mean)"
+
+
+_ALIGN_SQL = f"""WITH RECURSIVE {_X}, o AS (SELECT vec_id, t, dim, x[(t - 1) * 4 + dim] AS v FROM e, (SELECT unnest(range(1, 17)) AS t), (SELECT unnest(range(1, 5)) AS dim)),
+g AS (SELECT vec_id, t, s, mix, -0.5 * (4 * ln(2 * pi()) + sum((v - mean) * (v - mean))) + ln(0.5) AS lp FROM o JOIN {_means()} USING (dim) GROUP BY vec_id, t, s, mix),
+b AS (SELECT vec_id, t, s, max(lp) + ln(sum(exp(lp - top))) AS lp FROM (SELECT *, max(lp) OVER (PARTITION BY vec_id, t, s) AS top FROM g) GROUP BY vec_id, t, s),
+m AS (SELECT vec_id, t, list(lp ORDER BY s) AS em FROM b GROUP BY vec_id, t),
+r AS (SELECT vec_id, t, list_transform(range(1, 13), lambda s: CASE WHEN s = 1 THEN em[1] ELSE -1e30::DOUBLE END) AS score, list_transform(range(1, 13), lambda s: [s]) AS path FROM m WHERE t = 1
+ UNION ALL SELECT m.vec_id, m.t,
+  list_transform(range(1, 13), lambda s: CASE WHEN greatest(r.score[s], CASE WHEN s > 1 THEN r.score[s - 1] ELSE -1e30 END) + ln(0.5) > -1e30 + 1 THEN greatest(r.score[s], CASE WHEN s > 1 THEN r.score[s - 1] ELSE -1e30 END) + ln(0.5) + m.em[s] ELSE -1e30 END),
+  list_transform(range(1, 13), lambda s: CASE WHEN s > 1 AND r.score[s - 1] + ln(0.5) > greatest(r.score[s] + ln(0.5), -1e30) THEN list_append(r.path[s - 1], s) ELSE list_append(r.path[s], s) END)
+  FROM r JOIN m ON m.vec_id = r.vec_id AND m.t = r.t + 1),
+z AS (SELECT vec_id, path[CASE WHEN score[10] >= score[11] AND score[10] >= score[12] THEN 10 WHEN score[11] >= score[12] THEN 11 ELSE 12 END] AS path FROM r WHERE t = 16)"""
+
+
+@query(f"{_ALIGN_SQL} SELECT vec_id, CAST(pos AS INTEGER) AS pos, ['sil', 'a', 'k', 'sil'][pos + 1] AS phoneme, CAST(min(t) - 1 AS INTEGER) AS \"start\", CAST(max(t) AS INTEGER) AS \"end\" FROM (SELECT vec_id, t, (path[t] - 1) // 3 AS pos FROM z, (SELECT unnest(range(1, 17)) AS t)) GROUP BY vec_id, pos")
 def viterbi_align(spark: SparkSession, sf: str) -> DataFrame:
-    """Every vector as 16 frames, aligned with four phonemes."""
-    rows = _as_frames(spark, sf, 4).withColumn("phonemes", F.array(*[F.lit(p) for p in ("sil", "a", "k", "sil")]))
+    """Every vector as 16 frames, aligned with four phonemes."""
+    rows = _as_frames(spark, sf, 4).withColumn("phonemes", F.array(*[F.lit(p) for p in _ALIGNED]))
     got = A.forced_alignment(rows, _two_models(4), "vec_id")
     return got.select("vec_id", F.explode("segments").alias("s")).select("vec_id", "s.pos", "s.phoneme", "s.start", "s.end")
 
 
+@query(f"{_ALIGN_SQL} SELECT vec_id, CAST(t - 1 AS INTEGER) AS frame, CAST(path[t] - 1 AS INTEGER) AS state FROM z, (SELECT unnest(range(1, 17)) AS t)")
+def viterbi_states(spark: SparkSession, sf: str) -> DataFrame:
+    """The best path's state at every frame."""
+    rows = _as_frames(spark, sf, 4).withColumn("phonemes", F.array(*[F.lit(p) for p in _ALIGNED]))
+    return A.forced_alignment(rows, _two_models(4), "vec_id").select("vec_id", F.posexplode("states").alias("frame", "state"))
+
+
+@query("SELECT vec_id, CASE WHEN vec_id % 9 = 8 THEN 'unknown phoneme zz' WHEN vec_id % 9 = 0 THEN 'empty phoneme sequence' WHEN vec_id % 9 > 4 THEN 'too few frames (4) for ' || vec_id % 9 || ' phonemes' WHEN vec_id % 9 > 2 THEN 'no valid path' END AS error FROM embeddings")
+def alignment_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Four frames for none to seven phonemes, and an unknown one."""
+    n = F.pmod("vec_id", F.lit(9)).cast("int")
+    phonemes = F.when(n == 8, F.array(F.lit("a"), F.lit("zz"))).when(n == 0, F.array().cast("array<string>")).otherwise(F.array_repeat(F.lit("a"), n))
+    rows = _as_frames(spark, sf, 16).withColumn("phonemes", phonemes)
+    return A.forced_alignment(rows, {"a": K.new_hmm("a", 16, 1, 3)}, "vec_id").select("vec_id", "error")
+
+
+@query(f"WITH {_X}, s AS (SELECT vec_id, x, n, 2 + (vec_id + n) % 4 AS len, 3 * n AS a FROM e, (SELECT unnest(range(0, 4)) AS n)) SELECT vec_id, 'p' || n AS name, CAST(len AS INTEGER) AS n_frames, round(list_sum(x[a * 4 + 1:(a + len) * 4]), 6) + 0.0 AS total FROM s WHERE len >= 3")
+def frames_of_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """The frames of each segment that is long enough."""
+    seg = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda n: F.struct(F.concat(F.lit("p"), n.cast("string")).alias("phoneme"), (n * 3).alias("start"), (n * 3 + 2 + F.pmod(F.col("vec_id") + n, F.lit(4)).cast("int")).alias("end")))
+    rows = _as_frames(spark, sf, 4).withColumn("segments", seg)
+    tagged = rows.withColumn("features", F.transform("features", lambda f: F.concat(f, F.array(F.col("vec_id").cast("double")))))
+    got = A.cut_segments(tagged)
+    total = F.aggregate("features", F.lit(0.0), lambda s, f: s + F.get(f, F.lit(0)) + F.get(f, F.lit(1)) + F.get(f, F.lit(2)) + F.get(f, F.lit(3)))
+    return got.select(F.get(F.get("features", F.lit(0)), F.lit(4)).cast("long").alias("vec_id"), "name", F.size("features").alias("n_frames"), (F.round(total, 6) + 0.0).alias("total"))
+
+
+@query(f"WITH {_X}, {_LONG}, {_STATS}, {_LOGS} SELECT vec_id, cls, round(lp, 4) AS lp FROM c")
+def batched_likelihood(spark: SparkSession, sf: str) -> DataFrame:
+    """All classes' Gaussians as matrix products over batches."""
+    e = embeddings(spark, sf)
+    stats = A.gaussian_statistics(e, "label", "x").groupBy("label").agg(F.sort_array(F.collect_list(F.struct("dim", "mean", "var"))).alias("s"))
+    states = stats.select(F.col("label").cast("string").alias("name"), F.lit(1).alias("state"), F.lit(0).alias("mix"), F.transform("s", lambda r: r["mean"]).alias("mean"), F.transform("s", lambda r: r["var"]).alias("var"), F.lit(0.0).alias("log_weight"))
+    rows = A.mixture_scores(e, states, "x").select("vec_id", F.explode("scores").alias("k", "lp"))
+    return rows.select("vec_id", F.substring_index("k", "/", 1).cast("int").alias("cls"), F.round("lp", 4).alias("lp"))
+
+
+@query("SELECT * FROM (VALUES ('a-k+i', 'a-k+i'), ('i-k+a', 'k'), ('k', 'k'), ('#-a+#', 'a'), ('a-zz+i', 'none'), ('zz', 'none')) AS t(name, found)")
+def resolved_models(spark: SparkSession, sf: str) -> DataFrame:
+    """A triphone's model, else its centre's."""
+    model = A.new_model(["a", "k"], 2, 1) | {"a-k+i": K.new_hmm("a-k+i", 2, 1)}
+    names = ["a-k+i", "i-k+a", "k", "#-a+#", "a-zz+i", "zz"]
+    return spark.createDataFrame([(n, "none" if (h := A.resolved(model, n)) is None else h.phoneme) for n in names], "name string, found string")
+
+
+@query("SELECT CAST(i AS INTEGER) AS i, CAST(s AS INTEGER) AS state, CAST(CASE WHEN i < 29 THEN i * 3 + s - 1 ELSE -1 END AS INTEGER) AS cls FROM (SELECT unnest(range(0, 30)) AS i), (SELECT unnest([1, 2, 3]) AS s)")
+def state_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """The class of every phoneme's states, and of an unknown one."""
+    from phonoflow.functions import phonemes as P
+
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate([*P.PHONEMES, "zz"])], "i int, phoneme string")
+    return rows.select("i", "phoneme", F.explode(F.array(*[F.lit(s) for s in (1, 2, 3)])).alias("state")).select("i", "state", P.state_class(F.col("phoneme"), F.col("state")).alias("cls"))
+
+
+@query("SELECT CAST(i AS INTEGER) AS from_state, CAST(j AS INTEGER) AS to_state, CASE WHEN i = 0 AND j = 1 THEN 0.0 WHEN i BETWEEN 1 AND 3 AND j IN (i, i + 1) THEN round(ln(0.5), 9) ELSE -1e30 END AS log_prob FROM (SELECT unnest(range(0, 5)) AS i), (SELECT unnest(range(0, 5)) AS j)")
+def model_transitions(spark: SparkSession, sf: str) -> DataFrame:
+    """M5: in by the first state; stay or go on with one half."""
+    t = K.default_transitions()
+    return spark.createDataFrame([(i, j, float(t[i, j]) if t[i, j] < -1e29 else round(float(t[i, j]), 9)) for i in range(5) for j in range(5)], "from_state int, to_state int, log_prob double")
+
+
 # ---------------------------------------------------------------- networks
 def formula_network() -> N.Network:
     """64 - 8 - 4 with weights by a formula, so that SQL has them too."""
@@ -150,24 +235,66 @@ def dnn_forward(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("vec_id", F.posexplode(F.zip_with("log_post", prior, lambda a, b: a - b)).alias("k", "v")).withColumn("v", F.round("v", 5) + 0.0)
 
 
+_NET = f"""{_X}, h AS (SELECT vec_id, label, j, greatest(list_sum(list_transform(range(1, 65), lambda i: x[i] * sin(0.1 * (j * 64 + i)))) + 0.01 * j, 0) AS a FROM e, (SELECT unnest(range(0, 8)) AS j)),
+z AS (SELECT vec_id, label % 4 AS y, k, sum(a * cos(0.3 * (k * 8 + j + 1))) + 0.02 * k AS z FROM h, (SELECT unnest(range(0, 4)) AS k) GROUP BY vec_id, label, k),
+t AS (SELECT *, max(z) OVER (PARTITION BY vec_id) AS top, row_number() OVER (PARTITION BY vec_id ORDER BY z DESC, k) AS r FROM z), p AS (SELECT vec_id, y, k, r, z - top - ln(sum(exp(z - top)) OVER (PARTITION BY vec_id)) AS lp FROM t)"""
+
+
+@query(f"WITH {_NET}, s AS (SELECT -sum(lp) FILTER (k = y) AS loss, count(*) FILTER (k = y AND r = 1) AS hits, count(*) FILTER (k = y) AS n FROM p) SELECT CAST(k AS INTEGER) AS k, round(sum(exp(lp) - CASE WHEN k = y THEN 1 ELSE 0 END), 4) + 0.0 AS g, round(any_value(loss), 3) AS loss, any_value(hits) AS hits, any_value(n) AS n FROM p, s GROUP BY k")
+def network_gradients(spark: SparkSession, sf: str) -> DataFrame:
+    """The cross-entropy's gradient by the last layer's biases, loss and hits, added over partitions."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        net, total = formula_network(), None
+        for b in batches:
+            g = N.gradients(net, np.stack(list(b["x"])), b["label"].to_numpy() % 4) if len(b) else None
+            total = g if total is None else total if g is None else total + g
+        if total is not None:
+            yield pd.DataFrame({"k": np.arange(4), "g": total.g[3], "loss": total.loss, "hits": total.hits, "n": total.rows})
+
+    got = embeddings(spark, sf).select("x", "label").mapInPandas(run, "k int, g double, loss double, hits long, n long")
+    return got.groupBy("k").agg((F.round(F.sum("g"), 4) + 0.0).alias("g"), F.round(F.sum("loss"), 3).alias("loss"), F.sum("hits").cast("long").alias("hits"), F.sum("n").cast("long").alias("n"))
+
+
+@query(f"WITH {_X}, b AS (SELECT CAST(i AS INTEGER) AS i, avg(x[i + 1]) AS mean, var_pop(x[i + 1]) AS var FROM e, (SELECT unnest(range(0, 64)) AS i) GROUP BY i) SELECT i, round(0.1 * mean, 9) + 0.0 AS running_mean, round(1 + 0.1 * (var - 1), 9) AS running_var FROM b")
+def batch_norm_step(spark: SparkSession, sf: str) -> DataFrame:
+    """Running statistics after one step over the whole table as one batch, by an identity layer."""
+    moments = embeddings(spark, sf).select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("mean"), F.var_pop("v").alias("var"), F.count("*").alias("n")).orderBy("i").toPandas()
+    n = int(moments["n"].iloc[0])
+    net = N.Network([np.eye(64), np.ones((2, 64))], [np.zeros(64), np.zeros(2)], 0, bn=[[np.ones(64), np.zeros(64), np.zeros(64), np.ones(64)]], log_prior=np.zeros(2), phonemes=[])
+    g = N.Gradients([np.zeros_like(p) for p in net.parameters()], 0.0, 0, n, [(moments["mean"].to_numpy() * n, moments["var"].to_numpy() * n)])
+    N.update(net, N.Adam(), g, 0.001)
+    return spark.createDataFrame([(i, round(float(m), 9) + 0.0, round(float(v), 9)) for i, (m, v) in enumerate(zip(net.bn[0][2], net.bn[0][3], strict=True))], "i int, running_mean double, running_var double")
+
+
+@query(f"WITH {_X} SELECT vec_id, CAST(k AS INTEGER) AS k, round(z - ln(exp(a) + exp(b)), 6) + 0.0 AS v FROM (SELECT vec_id, a, b, unnest([0, 1]) AS k, unnest([a, b]) AS z FROM (SELECT vec_id, list_sum(list_transform(range(1, 65), lambda i: greatest(2 * (x[i] - 0.1) / sqrt(0.5 + 1e-5) + 0.05, 0))) AS a, list_sum(list_transform(range(1, 65), lambda i: i / 64.0::DOUBLE * greatest(2 * (x[i] - 0.1) / sqrt(0.5 + 1e-5) + 0.05, 0))) AS b FROM e))")
+def batch_norm_inference(spark: SparkSession, sf: str) -> DataFrame:
+    """A layer with batch norm by its running statistics."""
+    bn = [[np.full(64, 2.0), np.full(64, 0.05), np.full(64, 0.1), np.full(64, 0.5)]]
+    net = N.Network([np.eye(64), np.stack([np.ones(64), np.arange(1, 65) / 64])], [np.zeros(64), np.zeros(2)], 0, bn=bn, log_prior=np.zeros(2), phonemes=[])
+    return NN.log_posteriors(embeddings(spark, sf), net, "x").select("vec_id", F.posexplode("log_post").alias("k", "v")).withColumn("v", F.round("v", 6) + 0.0)
+
+
 @query("SELECT CAST(e AS INTEGER) AS epoch, round(0.00001 + (0.001 - 0.00001) * 0.5 * (1 + cos(pi() * e / 50)), 9) AS rate FROM (SELECT unnest(range(0, 51)) AS e)")
 def cosine_rate(spark: SparkSession, sf: str) -> DataFrame:
     """N4."""
     return spark.createDataFrame([(e, round(N.cosine_rate(0.001, e, 50), 9)) for e in range(51)], "epoch int, rate double")
 
 
-@query("SELECT vec_id, round(embedding[1]::DOUBLE - 0.001 * g / (abs(g) + 1e-8), 9) AS w FROM (SELECT vec_id, embedding, embedding[2]::DOUBLE AS g FROM embeddings)")
+@query(f"WITH {_X} SELECT vec_id, CAST(i AS INTEGER) AS i, round(x[i + 1] - 0.001 * x[i + 33] / (abs(x[i + 33]) + 1e-8), 9) + 0.0 AS w FROM e, (SELECT unnest(range(0, 32)) AS i)")
 def adam_step(spark: SparkSession, sf: str) -> DataFrame:
-    """The first step of a weight and its gradient per row; both bias corrections cancel, so g / |g| is left."""
-    pdf = embeddings(spark, sf).select("vec_id", F.get("x", F.lit(0)).alias("w"), F.get("x", F.lit(1)).alias("g"))
+    """The first step of 32 weights by 32 gradients a row; both bias corrections cancel, so g / |g| is left."""
 
     def step(batches):  # noqa: ANN001, ANN202
         for b in batches:
-            w = b["w"].to_numpy().copy()
-            N.Adam().step([w], [b["g"].to_numpy()], 1.0)
-            yield b[["vec_id"]].assign(w=w.round(9))
-
-    return pdf.mapInPandas(step, "vec_id long, w double")
+            if not len(b):
+                continue
+            x = np.stack(list(b["x"]))
+            w = x[:, :32].copy()
+            N.Adam().step([w], [x[:, 32:]], 1.0)
+            yield pd.DataFrame({"vec_id": np.repeat(b["vec_id"].to_numpy(), 32), "i": np.tile(np.arange(32, dtype=np.int32), len(b)), "w": w.ravel().round(9) + 0.0})
+
+    return embeddings(spark, sf).select("vec_id", "x").mapInPandas(step, "vec_id long, i int, w double")
 
 
 # ---------------------------------------------------------------- search

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,7 +71,7 @@ _POWER = f"""p AS (SELECT vec_id, label, bin, (power(sum(x[n + 1] * cos(2 * pi()
 
 @query(f"WITH {_X}, {_POWER} SELECT vec_id, CAST(bin AS INTEGER) AS bin, round(power, 6) + 0.0 AS power FROM p")
 def power_spectrum(spark: SparkSession, sf: str) -> DataFrame:
-    """D4, D5."""
+    """The transform's butterflies are those of the numeric library."""
     rows = embeddings(spark, sf).select("vec_id", F.posexplode(FE.dft_power(F.col("x"), N_FFT)).alias("bin", "power"))
     return rows.withColumn("power", F.round("power", 6) + 0.0)
 
@@ -101,8 +102,16 @@ def mel_energies(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {_X}, {_POWER}, {_MEL}, {_LOGMEL}
 SELECT vec_id, CAST(k AS INTEGER) AS i, round((1 + 11 * sin(pi() * k / 22)) * sum(e * cos(pi() * k * (filter + 0.5) / {FILTERS})), 5) + 0.0 AS v FROM l, (SELECT unnest(range(0, {CEPSTRA})) AS k) GROUP BY vec_id, k""")
 def cepstra(spark: SparkSession, sf: str) -> DataFrame:
-    """D10, D11."""
-    return spread(_log_mel(spark, sf), D.liftered(D.dct(F.col("e"), FILTERS, CEPSTRA), CEPSTRA), places=5)
+    """From the signal in the one Arrow pass that makes its spectrum."""
+    bank = K.mel_bank(FILTERS, N_FFT, 16000, 0.0, 8000.0)
+    return spread(embeddings(spark, sf).select("vec_id", FE.cepstra(F.col("x"), N_FFT, bank, CEPSTRA)), F.col("cepstra"), places=5)
+
+
+@query(f"""WITH {_X}, {_POWER}, {_MEL}, {_LOGMEL}
+SELECT vec_id, CAST(k AS INTEGER) AS i, round(sum(e * cos(pi() * k * (filter + 0.5) / {FILTERS})), 5) + 0.0 AS v FROM l, (SELECT unnest(range(0, {CEPSTRA})) AS k) GROUP BY vec_id, k""")
+def cosine_transform(spark: SparkSession, sf: str) -> DataFrame:
+    """D10 as an expression over given energies."""
+    return spread(_log_mel(spark, sf), D.dct(F.col("e"), FILTERS, CEPSTRA), places=5)
 
 
 @query(f"WITH {_X}, l AS (SELECT vec_id, label, i, x[i] AS v FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM e)) SELECT vec_id, CAST(i - 1 AS INTEGER) AS i, round(v - avg(v) OVER (PARTITION BY label, i), 6) + 0.0 AS v FROM l")
@@ -149,11 +158,13 @@ def vtln_warp(spark: SparkSession, sf: str) -> DataFrame:
     return _alphas(spark).crossJoin(f).select("alpha", "f", F.round(D.warp_frequency(F.col("f"), F.col("alpha")), 6).alias("warped"), F.round(D.hz_to_mel(F.col("f")), 6).alias("mel"))
 
 
-@query(f"""WITH {_X}, {_GRID}, s AS (SELECT vec_id, alpha, round(-abs(x[1] * alpha - x[2]), 9) AS score FROM e, g)
+@query(f"""WITH {_X}, {_GRID}, s AS (SELECT vec_id, alpha, round(-abs(list_sum(x[1:32]) * alpha - list_sum(x[33:64])), 6) AS score FROM e, g)
 SELECT vec_id, alpha, score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, alpha) AS r FROM s) WHERE r = 1""")
 def vtln_argmax(spark: SparkSession, sf: str) -> DataFrame:
     """The best of the grid by a score of the user's, the first of equals."""
-    scores = embeddings(spark, sf).crossJoin(F.broadcast(_alphas(spark))).select("vec_id", "alpha", F.round(-F.abs(F.get("x", F.lit(0)) * F.col("alpha") - F.get("x", F.lit(1))), 9).alias("score"))
+    half = lambda k: F.aggregate(F.slice("x", 1 + 32 * k, 32), F.lit(0.0), lambda t, v: t + v)
+    e = embeddings(spark, sf).select("vec_id", half(0).alias("a"), half(1).alias("b"))
+    scores = e.crossJoin(F.broadcast(_alphas(spark))).select("vec_id", "alpha", F.round(-F.abs(F.col("a") * F.col("alpha") - F.col("b")), 6).alias("score"))
     return FE.best_alpha(scores, "vec_id")
 
 
@@ -189,11 +200,52 @@ def run_length_segments(spark: SparkSession, sf: str) -> DataFrame:
 CONFIG = K.FeatureConfig(rate=1600, frame_ms=20.0, shift_ms=5.0, filters=6, cepstra=4, low=0.0, high=800.0, n_fft=32, lifter=22)
 
 
-@query()
+_FRAMES, _LEN, _HOP, _BINS, _MELS, _CEPS = 5, 32, 8, 17, 6, 4
+_MFCC = f"""{_X}, y AS (SELECT vec_id, {_PRE} AS y FROM e),
+f AS (SELECT vec_id, t, n, y[t * {_HOP} + n + 1] * (0.54 - 0.46 * cos(2 * pi() * n / {_LEN - 1})) AS v FROM y, (SELECT unnest(range(0, {_FRAMES})) AS t), (SELECT unnest(range(0, {_LEN})) AS n)),
+p AS (SELECT vec_id, t, bin, (power(sum(v * cos(2 * pi() * bin * n / {_LEN})), 2) + power(sum(v * sin(2 * pi() * bin * n / {_LEN})), 2)) / {_LEN} AS power FROM f, (SELECT unnest(range(0, {_BINS})) AS bin) GROUP BY ALL),
+m AS (SELECT i, CAST(floor(700 * (power(10, (i * 2595 * log10(1 + 800 / 700.0::DOUBLE) / {_MELS + 1}) / 2595) - 1) * {_LEN + 1} / 1600) AS INTEGER) AS edge FROM (SELECT unnest(range(0, {_MELS + 2})) AS i)),
+w AS (SELECT a.i AS filter, bin, CASE WHEN bin >= a.edge AND bin < b.edge THEN (bin - a.edge)::DOUBLE / (b.edge - a.edge) WHEN bin >= b.edge AND bin <= c.edge AND c.edge > b.edge THEN (c.edge - bin)::DOUBLE / (c.edge - b.edge) ELSE 0 END AS weight
+ FROM m a JOIN m b ON b.i = a.i + 1 JOIN m c ON c.i = a.i + 2, (SELECT unnest(range(0, {_BINS})) AS bin)),
+l AS (SELECT vec_id, t, filter, ln(greatest(sum(power * weight), 1e-30)) AS e FROM p JOIN w USING (bin) GROUP BY ALL),
+c AS (SELECT vec_id, t, k, (1 + 11 * sin(pi() * k / 22)) * sum(e * cos(pi() * k * (filter + 0.5) / {_MELS})) AS c FROM l, (SELECT unnest(range(0, {_CEPS})) AS k) GROUP BY vec_id, t, k),
+z AS (SELECT vec_id, k, list(c ORDER BY t) AS c FROM c GROUP BY ALL), n AS (SELECT vec_id, k, list_transform(c, lambda v: v - list_avg(c)) AS c FROM z),
+d AS (SELECT *, {_delta_sql("c")} AS d1 FROM n), dd AS (SELECT *, {_delta_sql("d1")} AS d2 FROM d)"""
+
+
+@query(f"WITH {_MFCC} SELECT vec_id, CAST(t AS INTEGER) AS frame, CAST(g * {_CEPS} + k AS INTEGER) AS i, round(CASE g WHEN 0 THEN c[t + 1] WHEN 1 THEN d1[t + 1] ELSE d2[t + 1] END, 4) + 0.0 AS v FROM dd, (SELECT unnest(range(0, {_FRAMES})) AS t), (SELECT unnest(range(0, 3)) AS g)")
 def mfcc(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole chain on signals of 64 samples, with a configuration that fits them."""
+    """The whole chain on signals of 64 samples, with a configuration that fits them."""
     rows = embeddings(spark, sf).select("vec_id", F.posexplode(FE.mfcc(F.col("x"), CONFIG)).alias("frame", "f"))
-    return rows.select("vec_id", "frame", F.posexplode("f").alias("i", "v")).withColumn("v", F.round("v", 6))
+    return rows.select("vec_id", "frame", F.posexplode("f").alias("i", "v")).withColumn("v", F.round("v", 4) + 0.0)
+
+
+@query(f"WITH {_MFCC} SELECT vec_id, CAST(t AS INTEGER) AS frame, CAST(g * {_CEPS} + k AS INTEGER) AS i, round(CASE g WHEN 0 THEN c[t + 1] WHEN 1 THEN d1[t + 1] ELSE d2[t + 1] END, 4) + 0.0 AS v FROM dd, (SELECT unnest(range(0, {_FRAMES})) AS t), (SELECT unnest(range(0, 3)) AS g)")
+def features_of_spectra(spark: SparkSession, sf: str) -> DataFrame:
+    """Spectra as a column of their own, and the features made of them."""
+    kept = embeddings(spark, sf).select("vec_id", FE.power_spectra(F.col("x"), CONFIG).alias("s"))
+    rows = kept.select("vec_id", F.posexplode(FE.features_from_spectra(F.col("s"), CONFIG)).alias("frame", "f"))
+    return rows.select("vec_id", "frame", F.posexplode("f").alias("i", "v")).withColumn("v", F.round("v", 4) + 0.0)
+
+
+@query("SELECT vec_id, CAST(CASE WHEN vec_id % 65 < 32 THEN -1 ELSE 1 + (vec_id % 65 - 32) // 8 END AS INTEGER) AS n_frames FROM embeddings")
+def short_audio(spark: SparkSession, sf: str) -> DataFrame:
+    """Signals of 0 to 64 samples; those with less than a frame have no features."""
+    rows = embeddings(spark, sf).select("vec_id", F.slice("x", 1, F.pmod("vec_id", F.lit(65)).cast("int")).alias("x"))
+    return rows.select("vec_id", F.coalesce(F.size(FE.mfcc(F.col("x"), CONFIG)), F.lit(-1)).alias("n_frames"))
+
+
+@query(f"WITH {_X} SELECT vec_id, round(greatest(x[1], x[2]) + ln(1 + exp(-abs(x[1] - x[2]))), 9) AS added, CASE WHEN x[1] = x[2] THEN -1e30 ELSE round(greatest(x[1], x[2]) + ln(1 - exp(-abs(x[1] - x[2]))), 6) END AS subtracted FROM e")
+def log_arithmetic(spark: SparkSession, sf: str) -> DataFrame:
+    """Sums and differences of numbers given by their logs."""
+
+    @F.arrow_udf("struct<added: double, subtracted: double>")
+    def run(x: pa.Array) -> pa.Array:
+        v = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)[:, :2] if len(x) else np.zeros((0, 2))
+        less = [K.log_sub(float(max(a, b)), float(min(a, b))) for a, b in v]
+        return pa.StructArray.from_arrays([pa.array(np.round(K.log_sum_exp(v), 9) if len(v) else v[:, 0]), pa.array([y if y < -1e29 else round(y, 6) for y in less], pa.float64())], ["added", "subtracted"])
+
+    return embeddings(spark, sf).select("vec_id", run(F.col("x")).alias("r")).select("vec_id", "r.added", "r.subtracted")
 
 
 @query(f"""WITH {_X}, t AS (SELECT vec_id, len(x) AS n, ['sil', 'a', 'k', 'i', 'sil'] AS ph FROM e)
@@ -213,7 +265,7 @@ def uniform_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_X} SELECT vec_id, round(list_sum(list_transform(range(1, len(x) + 1), lambda i: x[i] * x[i])), 6) AS dot, round(list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - 0.5) * (x[i] - 0.5) * 2)), 6) AS mahalanobis FROM e")
 def vector_kernels(spark: SparkSession, sf: str) -> DataFrame:
-    """I3, I8."""
+    """I3, I4, I8."""
     e = embeddings(spark, sf)
     same = lambda v: F.transform("x", lambda _: F.lit(v))
     return e.select("vec_id", F.round(D.dot(F.col("x"), F.col("x")), 6).alias("dot"), F.round(D.mahalanobis(F.col("x"), same(0.5), same(2.0)), 6).alias("mahalanobis"))
