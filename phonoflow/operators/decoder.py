@@ -15,18 +15,37 @@ from phonoflow.functions import network as N
 from phonoflow.functions import search as S
 from phonoflow.operators import acoustic
 from phonoflow.operators.features import matrix, mfcc, warped
-from phonoflow.operators.lm import LN10, NGramModel, natural
+from phonoflow.operators.lm import END, LN10, START, NGramModel, natural
+from phonoflow.session import cut_lineage
 
 RESULT = "struct<text:string,score:double,words:array<struct<text:string,start:int,end:int>>>"
 
 
-def language_model(model: NGramModel) -> S.LanguageModel:
-    """A model's tables in memory, in natural logs; for the decoder, whose lookups are per token."""
+#: n-grams that the driver and every decoding process may hold, some 200 bytes each
+MOST_GRAMS = 10_000_000
+
+
+def language_model(model: NGramModel, words: set[str] | None = None, most: int = MOST_GRAMS) -> S.LanguageModel:
+    """A model's tables in memory, in natural logs; for the decoder, whose lookups are per token.
+
+    With ``words``, those of the dictionary, n-grams that no decoding can ask for stay out: all unigrams and what follows
+    the start mark are kept, as they bound the search, and else only n-grams of these words and the marks. A model that has
+    more than ``most`` n-grams left is refused before anything is collected.
+    """
     m = natural(model)
+    bi, tri = m.bi, m.tri
+    if words is not None:
+        known = cut_lineage(model.uni.sparkSession.createDataFrame([(w,) for w in sorted(words | {START, END})], "_k string"))
+        among = lambda d, c: d.join(known, F.col(c) == F.col("_k"), "left_semi")
+        bi = among(among(bi.where(F.col("h") != START), "h"), "w").unionByName(bi.where(F.col("h") == START))
+        tri = None if tri is None else among(among(among(tri, "h2"), "h1"), "w")
+    total = sum(d.count() for d in (m.uni, bi, tri) if d is not None)
+    if total > most:
+        raise ValueError(f"{total} n-grams are more than the {most} that a decoder may hold")
     uni = {r["w"]: (r["lp"], r["bo"]) for r in m.uni.collect()}
-    bi = {(r["h"], r["w"]): (r["lp"], r["bo"]) for r in m.bi.collect()}
-    tri = {} if m.tri is None else {(r["h2"], r["h1"], r["w"]): r["lp"] for r in m.tri.collect()}
-    return S.LanguageModel(model.order, uni, bi, tri, model.oov)
+    pairs = {(r["h"], r["w"]): (r["lp"], r["bo"]) for r in bi.collect()}
+    triples = {} if tri is None else {(r["h2"], r["h1"], r["w"]): r["lp"] for r in tri.collect()}
+    return S.LanguageModel(model.order, uni, pairs, triples, model.oov)
 
 
 def first_words(dictionary: DataFrame) -> dict[str, list[str]]:
@@ -107,7 +126,8 @@ def recognizer(spark: SparkSession, am_path: str, lm_path: str, dict_path: str,
             net = load_network(spark, network_path)
         except Exception as e:  # noqa: BLE001
             warnings.warn(f"network not loaded: {e}", stacklevel=2)
-    return Recognizer(acoustic.load_model(spark, am_path), language_model(readers.read_arpa(spark, lm_path)), first_words(readers.read_dictionary(spark, dict_path)), network=net, **options)
+    words = first_words(readers.read_dictionary(spark, dict_path))
+    return Recognizer(acoustic.load_model(spark, am_path), language_model(readers.read_arpa(spark, lm_path), set(words)), words, network=net, **options)
 
 
 # ---------------------------------------------------------------- grid search

@@ -311,3 +311,17 @@ def test_network_in_the_search():
     assert r.decode_features(frames((0.1, 6), (4.9, 6))).text == "あ い"
     r.network.phonemes = ["a", "q"]
     assert "い" not in r.decode_features(frames((0.1, 6))).text
+
+
+def test_language_model_is_pruned_to_the_dictionary_and_bounded(spark):
+    from phonoflow.operators import decoder, lm
+
+    rows = spark.createDataFrame([(["a", "b", "c"],), (["a", "b", "x", "y"],), (["b", "c", "a", "z"],)], "words array<string>")
+    model = lm.build(rows, 3)
+    whole, some = decoder.language_model(model), decoder.language_model(model, {"a", "b", "c"})
+    assert some.uni == whole.uni
+    assert some.tri.keys() < whole.tri.keys()
+    assert all(w in {"a", "b", "c", "<s>", "</s>"} for h, w in some.bi if h != "<s>")
+    assert {k: v for k, v in whole.bi.items() if k[0] == "<s>"}.items() <= some.bi.items()
+    with pytest.raises(ValueError, match="more than the 5"):
+        decoder.language_model(model, {"a"}, most=5)
