@@ -2,13 +2,14 @@
 
 N2-N4, A11, A17-A19, D23, K3, S18. Data of any size is trained on where it lies: in a step each partition adds up the
 gradients of its own batches, a tree aggregation of one row per partition adds the partitions, the driver takes one Adam
-step. What moves per step has the size of the weights. :func:`phonoflow.functions.network.fit` is the loop on one machine.
+step. A step is a mini-batch as on one machine. What moves per step has the size of the weights. :func:`phonoflow.functions.network.fit` is the loop on one machine.
 """
 
 from __future__ import annotations
 
 import math
 import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from phonoflow.functions import network as N
 from phonoflow.functions import signal as D
 from phonoflow.operators.features import matrix, to_lists
-from phonoflow.session import cut_lineage
+from phonoflow.session import cut_lineage, ensure_checkpoint_dir
 
 
 def network_likelihoods(utterances: DataFrame, net: N.Network, features: str = "features") -> DataFrame:
@@ -58,15 +59,20 @@ def training_rows(aligned: DataFrame, context: int, classes: list[str] | None =
     return spread.select("x", F.greatest(cls, F.lit(0)).alias("target"))
 
 
-def train(rows: DataFrame, net: N.Network, epochs: int = 20, rate: float = 0.001, batch: int = 256, steps: int = 8, held_out: float = 0.1, patience: int = 3, smooth: float = 0.0, schedule: str = "", seed: int = 0) -> list[tuple[float, float, float, float]]:
-    """N4 over (x, target) rows: ``steps`` Adam steps an epoch, each on one hash share of the rows; ``net`` changes in place.
+def train(rows: DataFrame, net: N.Network, epochs: int = 20, rate: float = 0.001, batch: int = 256, workers: int = 8, steps: int | None = None, held_out: float = 0.1, patience: int = 3, smooth: float = 0.0, schedule: str = "", seed: int = 0) -> list[tuple[float, float, float, float]]:
+    """N4 over (x, target) rows: Adam steps on mini-batches; ``net`` changes in place.
 
-    Rows are dealt once by a seeded hash of their content into held-out and ``steps`` shares and written to the checkpoint
-    folder, sorted by share, so that a step reads its own row groups only.
+    A step takes ``workers`` batches of ``batch`` rows, so an epoch has as many steps as the rows fill, unless ``steps`` is
+    given. Rows are dealt once by a seeded hash of their content into held-out rows and a share a step, and written to the
+    shared folder by shares, so that a step reads its own files only. Epochs take the shares in an order of their own.
     """
     spark = rows.sparkSession
-    dealt = rows.withColumn("_u", F.pmod(F.xxhash64("x", "target", F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0)
-    table = cut_lineage(dealt.withColumn("share", F.when(F.col("_u") < held_out, F.lit(-1)).otherwise(F.floor((F.col("_u") - held_out) / (1 - held_out) * steps).cast("int"))).drop("_u"))
+    dealt = cut_lineage(rows.select(F.col("x").cast("array<double>").alias("x"), F.col("target").cast("int").alias("target")).withColumn("_u", F.pmod(F.xxhash64("x", "target", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)))
+    steps = steps or max(1, math.ceil(dealt.where(F.col("_u") >= held_out).count() / (batch * workers)))
+    share = F.when(F.col("_u") < held_out, F.lit(-1)).otherwise(F.floor((F.col("_u") - held_out) / (1 - held_out) * steps).cast("int"))
+    folder = f"{ensure_checkpoint_dir(spark)}/shares-{uuid.uuid4().hex}"
+    dealt.withColumn("share", share).drop("_u").repartition("share").write.partitionBy("share").parquet(folder)
+    table = spark.read.schema("x array<double>, target int, share int").parquet(folder)
     adam, best, bad, log = N.Adam(rate), math.inf, 0, []
 
     def partial(part: DataFrame, f) -> list:
@@ -96,7 +102,7 @@ def train(rows: DataFrame, net: N.Network, epochs: int = 20, rate: float = 0.001
     for epoch in range(epochs):
         lr = N.cosine_rate(rate, epoch, epochs) if schedule == "cosine" else rate
         loss, hits, n = 0.0, 0, 0
-        for step in range(steps):
+        for step in np.random.default_rng([seed, epoch]).permutation(steps).tolist():
             shared = spark.sparkContext.broadcast(net)
             seeds = seed + 1000 * epoch + step
             got = partial(table.where(F.col("share") == step), lambda x, y, s=shared, k=seeds: N.gradients(s.value, x, y, smooth, np.random.default_rng(k)))

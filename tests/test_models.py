@@ -212,6 +212,17 @@ def test_training_where_the_rows_lie(spark, tmp_path):
     assert back.context == net.context
 
 
+def test_an_epoch_has_a_step_for_each_mini_batch(spark, monkeypatch):
+    x, y = blobs(300)
+    rows = spark.createDataFrame([(a.tolist(), int(b)) for a, b in zip(x, y, strict=True)], "x array<double>, target int")
+    sizes, real = [], N.update
+    monkeypatch.setattr(N, "update", lambda net, adam, g, rate: (sizes.append(g.rows), real(net, adam, g, rate)))
+    log = NN.train(rows, N.new_network(4, 8, 0, 1, outputs=3), epochs=2, rate=0.02, batch=20, workers=2, patience=0)
+    assert sum(sizes) == 2 * sum(sizes[: len(sizes) // 2])
+    assert len(sizes) == 2 * -(-sum(sizes[: len(sizes) // 2]) // 40)
+    assert log[1][0] < log[0][0]
+
+
 # ---------------------------------------------------------------- search
 LN10 = math.log(10)
 
