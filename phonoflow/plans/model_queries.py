@@ -306,9 +306,23 @@ def tiny_recognizer() -> decoder.Recognizer:
     return decoder.Recognizer({"a": one("a", -0.1), "i": one("i", 0.1)}, lm, {"あ": ["a"], "い": ["i"]}, search=S.SearchConfig(lm_weight=1.0, word_penalty=-2.0))
 
 
-@query()
+_GAUSS = lambda m: f"-0.5 * (2 * ln(2 * pi()) + 2 * ln(0.5) + (power(x[2 * t + 1] - ({m}), 2) + power(x[2 * t + 2] - ({m}), 2)) / 0.5)"
+_BOUND = "-0.3 * 2.302585092994046"
+_ENTER = lambda k: f"{{'node': {k}, 'st': 1, 'last': r.node, 'score': r.score + ln(0.5) - ({_BOUND}) + 2.302585092994046 * CASE WHEN r.last = r.node THEN -0.5 ELSE -0.3 END - 2.0 + {'ea' if k == 1 else 'ei'} + ({_BOUND}), 'text': concat_ws(' ', nullif(r.text, ''), w)}}"
+
+
+@query(
+    f"""WITH RECURSIVE {_X}, em AS (SELECT vec_id, t, {_GAUSS(-0.1)} AS ea, {_GAUSS(0.1)} AS ei FROM e, (SELECT unnest(range(0, 32)) AS t)),
+r AS (SELECT vec_id, t, node, 1 AS st, 0 AS last, CASE node WHEN 1 THEN ea ELSE ei END + ({_BOUND}) AS score, '' AS text FROM em, (SELECT unnest([1, 2]) AS node) WHERE t = 0
+ UNION ALL SELECT vec_id, t, k.node, k.st, k.last, max(k.score), arg_max(k.text, k.score) FROM (
+  SELECT vec_id, t, unnest([
+   {{'node': r.node, 'st': r.st, 'last': r.last, 'score': r.score + ln(0.5) + own, 'text': r.text}}, {{'node': r.node, 'st': r.st + 1, 'last': r.last, 'score': r.score + ln(0.5) + own, 'text': r.text}}, {_ENTER(1)}, {_ENTER(2)}]) AS k
+  FROM (SELECT r.*, CASE r.node WHEN 1 THEN 'あ' ELSE 'い' END AS w, em.t AS t, ea, ei, CASE r.node WHEN 1 THEN ea ELSE ei END AS own FROM (SELECT vec_id, t AS before, node, st, last, score, text FROM r) r JOIN em ON em.vec_id = r.vec_id AND em.t = r.before + 1) r) WHERE k.st <= 3 GROUP BY vec_id, t, k.node, k.st, k.last),
+z AS (SELECT vec_id, max(score) AS score, arg_max(concat_ws(' ', nullif(text, ''), CASE node WHEN 1 THEN 'あ' ELSE 'い' END), score) AS text FROM r WHERE t = 31 GROUP BY vec_id)
+SELECT vec_id, text, round(score, 4) AS score, CAST(len(string_split(text, ' ')) AS INTEGER) AS n_words FROM z"""
+)
 def beam_decode(spark: SparkSession, sf: str) -> DataFrame:
-    """Every vector as 32 frames of two values, decoded."""
+    """Every vector as 32 frames of two values, decoded; the beam is wide enough for an exact search."""
     got = decoder.decoded(_as_frames(spark, sf, 2), tiny_recognizer())
     return got.select("vec_id", "result.text", F.round("result.score", 4).alias("score"), F.size("result.words").alias("n_words"))
 
