@@ -44,7 +44,7 @@ MAX_PROBES = 4096
 _TABLES = {1: 8, 2: 16}
 #: microseconds: a copy of a vector or a query that is shuffled, a candidate that is compared
 _COPY_COST, _PAIR_COST = 20.0, 0.02
-#: ids a split of groups is estimated from
+#: rows a split of groups is estimated from
 _LAYOUT_ROWS = 200_000
 _NEAR = 3e-6
 
@@ -131,11 +131,10 @@ class Layout:
     def probed(self, x: np.ndarray, t: int) -> np.ndarray:
         return cells(x, t, self.hashes, self.probes) if self.hashes else np.zeros((len(x), 1), np.int64)
 
-    def split(self, ids: np.ndarray, x: np.ndarray, rows: int) -> None:
-        """Parts for blocks that hold more than the target, by a sample of all ``rows``."""
-        for t in range(self.tables if len(ids) else 0):
-            seen = np.bincount(self.block(self.own(x, t)), minlength=self.blocks) * (rows / len(ids))
-            self.parts[t] = np.maximum(1, np.ceil(seen / (2 * self.target))).astype(np.int64)
+    def split(self, counts: list[tuple[int, int, int]], share: float) -> None:
+        """Parts for blocks that hold more than the target, by (table, block, rows of a sample that is a ``share`` of all)."""
+        for t, block, n in counts:
+            self.parts[t, block] = max(1, int(np.ceil(n / share / (2 * self.target))))
 
 
 _SCHEMA = "grp long, kind int, id long, cells array<long>, vec array<float>"
@@ -179,6 +178,22 @@ def _deal(layout: Layout):
     return deal
 
 
+def _blocks(layout: Layout):
+    """Vectors to (table, block, rows): how many of a task's vectors lie where."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((layout.tables, layout.blocks), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                x = _unit(batch.column(0).slice(at, 1024), layout.dim)
+                for t in range(layout.tables):
+                    seen[t] += np.bincount(layout.block(layout.own(x, t)), minlength=layout.blocks)
+        t, b = np.nonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(b), pa.array(seen[t, b])], ["t", "block", "n"])
+
+    return count
+
+
 # ---------------------------------------------------------------- search
 class Group:
     """The vectors of one group by cell, for exact search among those of given cells."""
@@ -275,6 +290,24 @@ def _best_of_sample(queries: np.ndarray, names: np.ndarray, k: int):
     return best
 
 
+def _best_of_all(k: int):
+    """Rows (q, c, n, vec) of whole queries to the k best of each; they stream by."""
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for q, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                mine = held.setdefault(q, [])
+                mine.append(tuple(row))
+                if len(mine) > 4 * k:
+                    held[q] = sorted(mine)[:k]
+        rows = [(q, *r) for q, mine in held.items() for r in sorted(mine)[:k]]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.float32(), pa.int64(), pa.list_(pa.float32())), strict=True)], ["q", "c", "n", "vec"])
+
+    return best
+
+
 def _ranks(probes: np.ndarray, asks: np.ndarray, own: np.ndarray) -> np.ndarray:
     """The place of the cell ``own[i]`` among the probes of query ``asks[i]``; a huge one where it isn't among them."""
     out = np.full(len(own), 1 << 30, np.int64)
@@ -294,10 +327,12 @@ def measured_plan(one: DataFrame, rows: int, asking: int, dim: int, k: int) -> t
         return None
     names = np.array([r["vec_id"] for r in sample])
     queries = _unit(pa.array([r["embedding"] for r in sample], pa.list_(pa.float32())), dim)
-    found = one.select("vec_id", "embedding").mapInArrow(_best_of_sample(queries, names, k), "q long, c float, n long, vec array<float>")
-    best = found.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "n", "vec"))), 1, k).alias("best")).collect()
-    asks = np.array([r["q"] for r in best for _ in r["best"]])
-    near = np.array([b["vec"] for r in best for b in r["best"]], np.float32)
+    schema = "q long, c float, n long, vec array<float>"
+    found = one.select("vec_id", "embedding").mapInArrow(_best_of_sample(queries, names, k), schema)
+    parts = max(1, min(SAMPLE, int(one.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    best = found.repartition(parts, "q").mapInArrow(_best_of_all(k), schema).select("q", "vec").collect()
+    asks = np.array([r["q"] for r in best])
+    near = np.array([r["vec"] for r in best], np.float32)
     some = one.sample(min(1.0, SAMPLE_ROWS / rows), seed=3).select("embedding").limit(2 * SAMPLE_ROWS).collect()
     if not some or not len(asks):
         return None
@@ -358,9 +393,9 @@ def nearest(vectors: DataFrame, k: int = K, ask: Column | None = None, plan: tup
     plan = plan or measured_plan(one, rows, asking, dim, k)
     if plan:
         layout = Layout(rows, dim, *plan)
-        some = one.sample(min(1.0, _LAYOUT_ROWS / rows), seed=4).select("vec_id", "embedding").limit(2 * _LAYOUT_ROWS).toArrow()
-        if some.num_rows:
-            layout.split(some["vec_id"].to_numpy(), _unit(some["embedding"].combine_chunks(), dim), rows)
+        share = min(1.0, _LAYOUT_ROWS / rows)
+        some = one.sample(share, seed=4).select("embedding").mapInArrow(_blocks(layout), "t int, block long, n long")
+        layout.split([tuple(r) for r in some.groupBy("t", "block").agg(F.sum("n")).collect()], share)
         best = cut_lineage(searched(one.mapInArrow(_deal(layout), _SCHEMA)))
         full = best.where(F.size("best") >= min(k, rows - 1))
         if full.count() < asking:
