@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from phonoflow.llm.hashing import distinct_per_text, mix64, text_buffers, words
 from phonoflow.plans.register import source
-from phonoflow.session import table
+from phonoflow.session import bound_batches, table
 
 BUCKETS = 1 << 17
 RANK = 8
@@ -155,6 +155,7 @@ def _columns(docs: DataFrame) -> list[Column]:
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> FactorisationMachine:
     """A model of quality from the labelled documents; at most ``max_rows`` labels are used."""
+    bound_batches(docs.sparkSession)
     some = (
         labels.where("doc_id is not null and quality is not null")
         .groupBy(F.col("doc_id").cast("long").alias("_label_id"))
@@ -187,6 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> F
 
 def score_column(docs: DataFrame, model: FactorisationMachine) -> Column:
     """The score as a column of ``docs``."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")

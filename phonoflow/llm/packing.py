@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from phonoflow.llm.tokens import TOKENIZER_DIR, encoding, token_ids
 from phonoflow.plans.register import source
-from phonoflow.session import cut_lineage, ensure_checkpoint_dir
+from phonoflow.session import bound_batches, cut_lineage, ensure_checkpoint_dir
 
 CAPACITY = 2048
 
@@ -159,6 +159,7 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, folder: str = TOKENIZER_DI
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
     spark = docs.sparkSession
+    bound_batches(spark)
     schema = "doc_id long, piece int, n_tokens int" + (", text string" if texts else "")
     found = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(_pieces(capacity, folder, texts), schema).withColumn("uid", F.monotonically_increasing_id())
     if texts:

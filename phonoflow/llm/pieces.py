@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from phonoflow.llm.hashing import mix64, text_buffers
 from phonoflow.llm.tokens import TOKENIZER_DIR
 from phonoflow.plans.register import source
+from phonoflow.session import bound_batches
 
 MODEL = "piece_bpe_32k.model"
 ALPHA = 1.0
@@ -328,6 +329,7 @@ def _slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int = SEED, alpha: float = ALPHA, folder: str = TOKENIZER_DIR) -> DataFrame:
     """(key, pieces, lossless) of every row; lossless tells that decoding gives back the text's bytes."""
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(folder)

@@ -33,6 +33,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 
 from phonoflow.llm.tokens import TOKENIZER_DIR, encoding
 from phonoflow.plans.register import source
+from phonoflow.session import bound_batches
 
 MIN_CHARS = 20
 #: 999 of 1,000 random hexadecimal strings of 32 lie below; names and paths with digits start at about 2.7.
@@ -136,6 +137,7 @@ def _candidates(text: Column, min_chars: int) -> Column:
 
 def findings(docs: DataFrame, known: frozenset[str] = frozenset(), folder: str = TOKENIZER_DIR, min_chars: int = MIN_CHARS, limit: float = MAX_CHARS_PER_TOKEN) -> DataFrame:
     """A row per finding: (doc_id, start, length, chars_per_token); start counts characters from 0."""
+    bound_batches(docs.sparkSession)
     item = StructType([StructField("start", IntegerType()), StructField("length", IntegerType()), StructField("ratio", DoubleType())])
     kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ratio", pa.float64())]))
 
@@ -150,6 +152,7 @@ def findings(docs: DataFrame, known: frozenset[str] = frozenset(), folder: str =
 
 def redacted(docs: DataFrame, known: frozenset[str] = frozenset(), folder: str = TOKENIZER_DIR, min_chars: int = MIN_CHARS, limit: float = MAX_CHARS_PER_TOKEN) -> DataFrame:
     """``docs`` with MASK in place of every finding."""
+    bound_batches(docs.sparkSession)
 
     @F.arrow_udf("string")
     def mask(text: pa.Array) -> pa.Array:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from phonoflow.plans.register import source
-from phonoflow.session import cut_lineage
+from phonoflow.session import bound_batches, cut_lineage
 
 DAMPING = 0.9
 THRESHOLD = 0.95
@@ -251,6 +251,7 @@ def host_of(url: Column) -> Column:
 
 def site_noise(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(host, noise): the element keys of low importance of every host."""
+    bound_batches(pages.sparkSession)
     rows = pages.select(host_of(pages["url"]).alias("host"), pages["html"].alias("html")).where("host is not null and html is not null")
     distinct = rows.withColumn("page", _fingerprints("html")).groupBy("host", "page").agg(F.min("html").alias("html"))
     counts = distinct.select("host", "html").mapInArrow(_statistics, _STAT_SCHEMA).groupBy("host", "element", "kind", "key").agg(F.sum("pages").alias("pages"), F.min("children").alias("children"))
