@@ -13,7 +13,8 @@ pairs, as among few rows, queries are held against all vectors, in blocks.
 Layout: cells that share a first axis lie side by side, in groups of some ten thousand vectors and more, as probes share
 axes. A vector goes to one group a table; a group that the sample shows to be larger is split by a hash of the id. A query
 goes once to each group that has one of its cells. Partitions are sorted so that a group's vectors come before its queries,
-which stream by: memory is bounded by a group's vectors. Of each group the k best are kept, and one aggregation by query
+which stream by: memory is bounded by a group's vectors. Of equal vectors only those with the k + 1 smallest ids are looked
+at, before the shuffle and again in the group, as ties go by the id. Of each group the k best are kept, and one aggregation by query
 joins the groups'. Queries that meet fewer than k others are held against all vectors.
 
 Defined results: rows with a null vec_id or vector, a null or non-finite element or zero length, or of a size other than
@@ -101,6 +102,15 @@ def _unit(vectors: pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True).astype(np.float32)
 
 
+def _first_of_equals(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """Places of the rows that have at most k rows of the same vector with smaller ids. No query's k best have any other, as ties go by the id."""
+    _, same = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * 4)))[:, 0], return_inverse=True)
+    order = np.lexsort((ids, same))
+    head = np.flatnonzero(np.r_[True, np.diff(same[order]) != 0])
+    rank = np.arange(len(ids)) - np.repeat(head, np.diff(np.r_[head, len(ids)]))
+    return np.sort(order[rank <= k])
+
+
 # ---------------------------------------------------------------- layout
 class Layout:
     """Which group a cell belongs to: (table, block of cells, part). ``hashes`` 0 is one cell for all, dealt into parts alone."""
@@ -146,8 +156,8 @@ def _rows(grp: np.ndarray, kind: int, ids: np.ndarray, count: np.ndarray, cell:
     return pa.RecordBatch.from_arrays([pa.array(grp.astype(np.int64)), pa.array(np.full(len(ids), kind, np.int32)), pa.array(ids), lists, vec], ["grp", "kind", "id", "cells", "vec"])
 
 
-def _deal(layout: Layout):
-    """Rows (vec_id, vector, ask) to a row of kind 0 for each table and, where they ask, of kind 1 for each probed group."""
+def _deal(layout: Layout, k: int):
+    """Rows (vec_id, vector, ask) to a row of kind 0 for each table, but for equal vectors that can't be among the k best, and, where they ask, of kind 1 for each probed group."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,11 +165,12 @@ def _deal(layout: Layout):
                 b = batch.slice(at, 1024)
                 ids, ask = b.column(0).to_numpy(), np.flatnonzero(b.column(2).to_numpy(zero_copy_only=False))
                 x = _unit(b.column(1), layout.dim)
+                use = _first_of_equals(ids, x, k)
                 salt = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
                 for t in range(max(1, layout.tables)):
-                    own = layout.own(x, t)
+                    own = layout.own(x[use], t)
                     block = layout.block(own)
-                    yield _rows((t << 48) | (block << 20) | salt % layout.parts[t][block], 0, ids, np.ones(len(ids), np.int64), own, x)
+                    yield _rows((t << 48) | (block << 20) | salt[use] % layout.parts[t][block], 0, ids[use], np.ones(len(use), np.int64), own, x[use])
                     if not len(ask):
                         continue
                     c = layout.probed(x[ask], t)
@@ -172,8 +183,8 @@ def _deal(layout: Layout):
                     flat = c.ravel()[order]
                     parts = layout.parts[t][g]
                     for part in range(int(parts.max())):
-                        use = parts > part
-                        yield _rows((t << 48) | (g[use] << 20) | part, 1, ids[ask][q[use]], count[use], flat[np.repeat(use, count)], x[ask][q[use]])
+                        to = parts > part
+                        yield _rows((t << 48) | (g[to] << 20) | part, 1, ids[ask][q[to]], count[to], flat[np.repeat(to, count)], x[ask][q[to]])
 
     return deal
 
@@ -199,6 +210,8 @@ class Group:
     """The vectors of one group by cell, for exact search among those of given cells."""
 
     def __init__(self, ids: np.ndarray, cell: np.ndarray, x: np.ndarray, k: int) -> None:
+        use = _first_of_equals(ids, x, k)
+        ids, cell, x = ids[use], cell[use], x[use]
         order = np.argsort(cell, kind="stable")
         self.ids, self.x, self.k = ids[order], x[order], k
         self.cells, self.first = np.unique(cell[order], return_index=True)
@@ -396,13 +409,13 @@ def nearest(vectors: DataFrame, k: int = K, ask: Column | None = None, plan: tup
         share = min(1.0, _LAYOUT_ROWS / rows)
         some = one.sample(share, seed=4).select("embedding").mapInArrow(_blocks(layout), "t int, block long, n long")
         layout.split([tuple(r) for r in some.groupBy("t", "block").agg(F.sum("n")).collect()], share)
-        best = cut_lineage(searched(one.mapInArrow(_deal(layout), _SCHEMA)))
+        best = cut_lineage(searched(one.mapInArrow(_deal(layout, k), _SCHEMA)))
         full = best.where(F.size("best") >= min(k, rows - 1))
         if full.count() < asking:
             rest = one.join(full.select(F.col("vec_id").alias("_full")), F.col("vec_id") == F.col("_full"), "left").withColumn("ask", F.col("ask") & F.col("_full").isNull()).select("vec_id", "embedding", "ask")
-            best = full.unionByName(searched(rest.mapInArrow(_deal(Layout(rows, dim, 0, 1, 1)), _SCHEMA)))
+            best = full.unionByName(searched(rest.mapInArrow(_deal(Layout(rows, dim, 0, 1, 1), k), _SCHEMA)))
     else:
-        best = searched(one.mapInArrow(_deal(Layout(rows, dim, 0, 1, 1)), _SCHEMA))
+        best = searched(one.mapInArrow(_deal(Layout(rows, dim, 0, 1, 1), k), _SCHEMA))
     return best.select("vec_id", F.explode("best").alias("b")).select("vec_id", F.col("b.n").alias("neighbour_id"), (-F.col("b.c")).alias("cosine"))
 
 
