@@ -87,8 +87,8 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.
             low = _LOWER[data[p:q]]
             if q < stop:
                 gap = np.flatnonzero(low == 0)
-                if len(gap) and gap[-1] > 0:
-                    q = p + int(gap[-1])
+                if len(gap):  # a separator in front alone goes by itself, so that an endless word starts its sub-slice
+                    q = p + max(1, int(gap[-1]))
                     low = low[: q - p]
             cut = offsets[at:to] - p
             s, e, h = _slice_words(low, cut[(cut >= 0) & (cut < len(low))])
