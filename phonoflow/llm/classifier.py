@@ -5,7 +5,8 @@ hashed metadata lang and source. The score is w0 + sum w_i x_i + 1/2 sum_f ((sum
 sum-of-squares identity makes all pairwise interactions linear in the number of features.
 
 Fitting: on at most MAX_TRAIN_ROWS labelled documents, taken by a hash of the doc_id (a documented bound: the model has a
-fixed size, so more rows don't need to reach the driver). Their features are computed by the executors; Adagrad runs in
+fixed size, so more rows don't need to reach the driver). Their features are computed by the executors and fetched some
+FETCH_BYTES at a time into a temporary file, so the driver's memory doesn't grow with the length of the texts; Adagrad runs in
 numpy with a fixed seed, rows in the order of a hash of the doc_id, then of the doc_id, so a fit is reproducible. Scoring: one Arrow pass over whole texts
 with the weights broadcast (a fixed 5 MB); no shuffle.
 
@@ -17,6 +18,9 @@ score is 0.5 everywhere. Repeated rows score alike; extra columns stay.
 
 from __future__ import annotations
 
+import math
+import mmap
+import tempfile
 import zlib
 from collections.abc import Iterator
 
@@ -27,13 +31,17 @@ from pyspark.sql import functions as F
 
 from phonoflow.llm.hashing import distinct_per_text, mix64, text_buffers, words
 from phonoflow.plans.register import source
-from phonoflow.session import bound_batches, table
+from phonoflow.session import bound_batches, cut_lineage, table
 
 BUCKETS = 1 << 17
 RANK = 8
 MAX_TRAIN_ROWS = 20_000
 THRESHOLD = 0.5
 SEED = 11
+#: Bytes of features that the driver fetches at once; a text with more comes alone.
+FETCH_BYTES = 4 << 20
+#: Features that a step of the fit holds at once; a batch with more is added up in pieces.
+PIECE = 1 << 19
 _BINS = 16
 _STATS = 10
 _META = 512
@@ -122,24 +130,39 @@ def fit_rows(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, rate:
     share = label.mean()
     fm = FactorisationMachine(float(np.log(share / (1 - share))), np.zeros(DIM, np.float32), rng.normal(0, 0.05, (DIM, RANK)).astype(np.float32))
     gw, gv, g0 = np.full(DIM, 1e-4, np.float32), np.full((DIM, RANK), 1e-4, np.float32), 1e-4
+    sum_w, sum_v = np.zeros(DIM, np.float32), np.zeros((DIM, RANK), np.float32)
     for _ in range(int(np.clip(80_000 / len(label), 4, 40))):
         order = rng.permutation(len(label))
         for at in range(0, len(order), batch):
             ids = order[at : at + batch]
-            index = np.concatenate([rows[i][0] for i in ids])
-            value = np.concatenate([rows[i][1] for i in ids])
-            row = np.repeat(np.arange(len(ids)), [len(rows[i][0]) for i in ids])
-            vx = fm.v[index] * value[:, None]
-            head = np.searchsorted(row, np.arange(len(ids)))
-            total = np.add.reduceat(vx, head, axis=0)
-            score = fm.w0 + np.add.reduceat(fm.w[index] * value, head) + 0.5 * (total**2 - np.add.reduceat(vx * vx, head, axis=0)).sum(1)
+
+            def gather(piece: list[tuple[int, int, int]], ids=ids) -> tuple[np.ndarray, ...]:
+                index, value = (np.concatenate([rows[ids[i]][k][a:b] for i, a, b in piece]) for k in (0, 1))
+                size = np.array([b - a for _, a, b in piece])
+                who = np.array([i for i, _, _ in piece])
+                return index, value, who, np.cumsum(size) - size, np.repeat(who, size), fm.v[index] * value[:, None]
+
+            pieces = _pieces([len(rows[i][0]) for i in ids])
+            held = [gather(pieces[0])] if len(pieces) == 1 else None
+            total, square, linear = np.zeros((len(ids), RANK), np.float32), np.zeros((len(ids), RANK), np.float32), np.zeros(len(ids), np.float32)
+            for index, value, who, head, _, vx in held or map(gather, pieces):
+                total[who] += np.add.reduceat(vx, head, axis=0)
+                square[who] += np.add.reduceat(vx * vx, head, axis=0)
+                linear[who] += np.add.reduceat(fm.w[index] * value, head)
+            score = fm.w0 + linear + 0.5 * (total**2 - square).sum(1)
             g = ((1 / (1 + np.exp(-score)) - label[ids]) / len(ids)).astype(np.float32)
-            gx = g[row] * value
-            by = np.argsort(index, kind="stable")
-            first = np.flatnonzero(np.r_[True, np.diff(index[by]) != 0])
-            at_w = index[by][first]
-            dw = np.add.reduceat(gx[by], first) + decay * fm.w[at_w]
-            dv = np.add.reduceat((gx[:, None] * (total[row] - vx))[by], first, axis=0) + decay * fm.v[at_w]
+            touched = []
+            for index, value, _, _, row, vx in held or map(gather, pieces):
+                gx = g[row] * value
+                by = np.argsort(index, kind="stable")
+                first = np.flatnonzero(np.r_[True, np.diff(index[by]) != 0])
+                touched.append(index[by][first])
+                sum_w[touched[-1]] += np.add.reduceat(gx[by], first)
+                sum_v[touched[-1]] += np.add.reduceat((gx[:, None] * (total[row] - vx))[by], first, axis=0)
+            at_w = touched[0] if len(touched) == 1 else np.unique(np.concatenate(touched))
+            dw = sum_w[at_w] + decay * fm.w[at_w]
+            dv = sum_v[at_w] + decay * fm.v[at_w]
+            sum_w[at_w], sum_v[at_w] = 0, 0
             gw[at_w] += dw * dw
             gv[at_w] += dv * dv
             fm.w[at_w] -= rate * dw / np.sqrt(gw[at_w])
@@ -149,6 +172,22 @@ def fit_rows(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, rate:
     return fm
 
 
+def _pieces(sizes: list[int]) -> list[list[tuple[int, int, int]]]:
+    """(row, from, to) of all features of rows of these sizes, in lists of at most PIECE features."""
+    out, room = [[]], PIECE
+    for i, size in enumerate(sizes):
+        at = 0
+        while at < size:
+            if not room:
+                out.append([])
+                room = PIECE
+            to = min(size, at + room)
+            out[-1].append((i, at, to))
+            room -= to - at
+            at = to
+    return out
+
+
 def _columns(docs: DataFrame) -> list[Column]:
     return [docs["text"], *(F.coalesce(docs[c].cast("string"), F.lit("")) if c in docs.columns else F.lit("") for c in ("lang", "source"))]
 
@@ -169,8 +208,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> F
         for b in batches:
             at = 0
             for row, index, value, n in features(b.column(2), b.column(3), b.column(4)):
-                cut = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(at, n) for k in range(2)), pa.ListArray.from_arrays(cut, pa.array(index.astype(np.int32))), pa.ListArray.from_arrays(cut, pa.array(value))], ["id", "label", "feature", "value"])
+                cut = pa.py_buffer((4 * np.searchsorted(row, np.arange(n + 1))).astype(np.int32))
+                both = [pa.Array.from_buffers(pa.binary(), n, [None, cut, pa.py_buffer(x)]) for x in (index.astype(np.int32), value)]
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(at, n) for k in range(2)), *both], ["id", "label", "feature", "value"])
                 at += n
 
     # max_rows bounds the broadcast side: 16 bytes a label
@@ -178,12 +218,25 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> F
     # one text a label, added up before the shuffle: what reaches the driver is bounded however often an id occurs
     first = F.min(F.struct(F.xxhash64("_text", "_lang", "_source").alias("key"), "_text", "_lang", "_source")).alias("one")
     picked = labelled.join(F.broadcast(some), F.col("_id") == F.col("_label_id")).groupBy("_id", "_label").agg(first).select("_id", "_label", "one._text", "one._lang", "one._source")
-    got = picked.mapInArrow(rows, "id long, label double, feature array<int>, value array<float>").toArrow()
-    order = np.lexsort((got["id"].to_numpy(), mix64(got["id"].to_numpy().view(np.uint64)))) if got.num_rows else []
-    feature, value = got["feature"].combine_chunks(), got["value"].combine_chunks()
-    feature, value = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (feature, value))
-    cut, f, v = (feature.offsets.to_numpy(), feature.values.to_numpy(), value.values.to_numpy()) if got.num_rows else (np.zeros(1), None, None)
-    return fit_rows([(f[cut[i] : cut[i + 1]], v[cut[i] : cut[i + 1]]) for i in order], (got["label"].to_numpy()[order] >= 0.5).astype(np.float32) if len(order) else np.zeros(0, np.float32))
+    found = cut_lineage(picked.mapInArrow(rows, "id long, label double, feature binary, value binary"))
+    n_bytes = found.agg(F.sum(F.length("feature").cast("long") + F.length("value"))).first()[0] or 0
+    ids, label, size = [], [], []
+    with tempfile.TemporaryFile() as file:
+        for i, quality, feature, value in found.repartition(max(1, math.ceil(n_bytes / FETCH_BYTES)), "id").toLocalIterator():
+            file.write(feature)
+            file.write(value)
+            ids.append(i)
+            label.append(quality)
+            size.append(len(feature) // 4)
+        if not ids:
+            return FactorisationMachine()
+        file.flush()
+        raw = np.frombuffer(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ), np.int32)
+    start = 2 * (np.cumsum(size) - size)
+    ids = np.array(ids, np.int64)
+    order = np.lexsort((ids, mix64(ids.view(np.uint64))))
+    data = [(raw[start[i] : start[i] + size[i]], raw[start[i] + size[i] : start[i] + 2 * size[i]].view(np.float32)) for i in order]
+    return fit_rows(data, (np.array(label)[order] >= 0.5).astype(np.float32))
 
 
 def score_column(docs: DataFrame, model: FactorisationMachine) -> Column:

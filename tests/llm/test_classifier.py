@@ -110,3 +110,31 @@ def test_scores_by_the_definition(spark, sf):
         v = model.v[index].astype(np.float64) * value[:, None]
         logit = model.w0 + (model.w[index] * value).sum() + sum(float(v[i] @ v[j]) for i in range(len(v)) for j in range(i))
         assert abs(got[n] - 1 / (1 + np.exp(-logit))) < 1e-4
+
+
+def test_features_beyond_the_drivers_result_size(spark):
+    """Long texts of many distinct words: all of their features reach the fit, though together they exceed spark.driver.maxResultSize."""
+    docs = spark.range(100, numPartitions=20).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 16000), x -> concat(if(id % 4 = 0, 'bad', 'good'), x + 7 * id))) AS text")
+    labels = spark.range(100).selectExpr("id AS doc_id", "int(id % 4 <> 0) AS quality")
+    conf, key = spark.sparkContext._jsc.sc().conf(), "spark.driver.maxResultSize"
+    before = conf.get(key, "1g")
+    conf.set(key, "10m")
+    try:
+        model = Q.fit(docs, labels)
+    finally:
+        conf.set(key, before)
+    held = pa.array([" ".join(f"{kind}{x}" for x in range(300, 16_300)) for kind in ("bad", "good")])
+    bad, good = model.score(held, pa.array([None, None]), pa.array([None, None]))
+    assert bad < 0.5 < good
+
+
+def test_batches_in_pieces_learn_the_same(monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(rng.integers(0, 500, k).astype(np.int32), rng.random(k).astype(np.float32) / k) for k in rng.integers(1, 90, 300)]
+    label = (rng.random(300) < 0.6).astype(np.float32)
+    whole = Q.fit_rows(rows, label)
+    monkeypatch.setattr(Q, "PIECE", 64)
+    parts = Q.fit_rows(rows, label)
+    assert np.allclose(whole.w, parts.w, atol=1e-3)
+    assert np.allclose(whole.v, parts.v, atol=1e-3)
+    assert np.isclose(whole.w0, parts.w0, atol=1e-3)
