@@ -3,14 +3,19 @@
 Plan: a 256-bit signature per document over its distinct words -> one row per distinct signature -> bucket tables keyed
 by fixed samples of signature bits -> inside each bucket, signatures lie as vertical bit planes, and one query's distances
 to 64 signatures per machine word are counted by carry-save adders; a block of words is abandoned as soon as all its
-distances exceed the radius -> spanning edges -> connected components.
+distances exceed the radius -> spanning edges -> connected components. The buckets may miss a pair, so an exact pass over
+all pairs of signatures of different components follows: of the 16 parts of 16 bits of a pair within the radius, one at
+least differs in so few bits that all keys this near can be looked up (multi-index hashing); blocks of signatures meet
+in tasks, and what they find links components.
 
 Only doc_id and 32 bytes a document are shuffled, never texts. Identical signatures collapse before any comparison, and a
 bucket gives at most one edge for each of its signatures, so groups of thousands of copies cost what they weigh. There is
 no cap on bucket or group sizes.
 
-Recall: two signatures at the radius share a bucket of one of the tables with a probability of at least ``recall``;
-the number of tables follows from the radius and the bits in a key, which grow with the logarithm of the row count.
+Recall: every pair of signatures within the radius is linked. In the tables, two signatures at the radius share a bucket
+with a probability of at least ``recall``, which decides how much is left to the exact pass, not what is found: the more
+of a dense group is one component already, the less of it is compared there. The exact pass compares some
+3 of 100 pairs for random bits, more for uneven ones, so its work grows with the square of the distinct signatures.
 
 Defined results: a null or empty text, and a row without doc_id, are never duplicates and stay. Texts without any word
 compare by all their bytes. Of a group the smallest doc_id stays. Of rows that repeat both doc_id and text one stays;
@@ -20,7 +25,7 @@ rows that share a doc_id but not the text are kept or dropped together, by the d
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,7 +42,14 @@ RADIUS = 46
 RECALL = 0.9
 #: Ids of eight bytes that a broadcast may hold.
 BROADCAST_IDS = 2_000_000
+#: Signatures of a block of the exact pass, and parts of a signature that are keys there.
+BLOCK = 1 << 19
+PARTS = BITS // 16
+#: Components with more signatures in a task are held against the others alone; candidates that are compared at once.
+LARGE = 4096
+_CANDIDATES = 1 << 17
 _WORDS = BITS // 64
+_BITS_OF = np.bitwise_count(np.arange(1 << 16, dtype=np.uint32))
 _SEEDS = [np.uint64((0x632BE59BD9B4E019 * (i + 1)) & (2**64 - 1)) for i in range(_WORDS)]
 #: The eight bits of a byte, each in a byte of its own.
 _SPREAD = np.array([sum(((b >> (7 - i)) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
@@ -94,7 +106,7 @@ def _signature_udf():
 
 # ---------------------------------------------------------------- tables
 def plan_tables(rows: int, radius: int = RADIUS, recall: float = RECALL) -> tuple[int, int]:
-    """(bits of a key, tables): buckets of about 4,096 signatures, and so many tables that a pair at the radius meets with probability ``recall``."""
+    """(bits of a key, tables): buckets of about 4,096 signatures, and so many tables that a pair at the radius meets with probability ``recall``; :func:`missed_links` has the rest."""
     width = max(8, min(28, math.ceil(math.log2(max(rows, 1))) - 12))
     meet = math.prod((BITS - radius - i) / (BITS - i) for i in range(width))
     return width, max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
@@ -291,6 +303,110 @@ def _bucket_edges(radius: int):
     return run
 
 
+# ---------------------------------------------------------------- the exact pass
+def close_pairs(a: np.ndarray, b: np.ndarray | None, radius: int, parts: Iterable[int] = range(PARTS)) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows of a, rows of b) of all pairs within the radius, some of them more than once; without ``b``, the pairs in ``a``.
+
+    Where the distances of PARTS parts add up to the radius at most, one part p has (radius - PARTS + 1 + p) // PARTS at
+    most: if all had one more, their sum would be above the radius. ``parts``: the pairs that these tell.
+    """
+    for p in parts:
+        reach = (radius - PARTS + 1 + p) // PARTS
+        if reach < 0:
+            continue
+        words_ = [(p // 4 + k) % _WORDS for k in (1, 2, 3, 0)]  # that of the part last: it tells least
+        row_a = np.argsort(a.view(np.uint16)[:, p], kind="stable")
+        key, left = a.view(np.uint16)[row_a, p], [a[row_a, w] for w in words_]
+        row_b, key_b, right = row_a, key, left
+        if b is not None:
+            row_b = np.argsort(b.view(np.uint16)[:, p], kind="stable")
+            key_b, right = b.view(np.uint16)[row_b, p], [b[row_b, w] for w in words_]
+        count = np.bincount(key_b, minlength=1 << 16)
+        first = np.cumsum(count) - count
+        for mask in np.flatnonzero(reach >= _BITS_OF).tolist():
+            partner = key ^ np.uint16(mask)
+            n, start = count[partner], first[partner]
+            if b is None and mask:  # each pair of keys from its smaller one
+                n = np.where(key & np.uint16(1 << (mask.bit_length() - 1)), 0, n)
+            elif b is None:
+                n, start = start + n - np.arange(1, len(key) + 1), np.arange(1, len(key) + 1)
+            end = np.cumsum(n)
+            at, done = 0, 0
+            while at < len(n) and done < end[-1]:
+                to = max(at + 1, int(np.searchsorted(end, done + _CANDIDATES, "right")))
+                times, stop = n[at:to], int(end[to - 1])
+                y = np.repeat(start[at:to] - (end[at:to] - times - done), times) + np.arange(stop - done)
+                d = np.bitwise_count(np.repeat(left[0][at:to], times) ^ right[0][y]) + np.bitwise_count(np.repeat(left[1][at:to], times) ^ right[1][y])
+                near = np.flatnonzero(d <= radius)
+                if len(near):
+                    x, y = at + np.searchsorted(end[at:to] - done, near, "right"), y[near]
+                    hit = d[near].astype(np.int64) + np.bitwise_count(left[2][x] ^ right[2][y]) + np.bitwise_count(left[3][x] ^ right[3][y]) <= radius
+                    yield row_a[x[hit]], row_b[y[hit]]
+                at, done = to, stop
+
+
+def linked_roots(sig: np.ndarray, root: np.ndarray, late: np.ndarray, radius: int, parts: Iterable[int] = range(PARTS)) -> np.ndarray:
+    """pairs x 2, without repetition: the different roots, smaller first, of signatures within the radius.
+
+    Where some are ``late``, those against the others only. Pairs of one large component are not looked at.
+    """
+    _, which, size = np.unique(root, return_inverse=True, return_counts=True)
+    large, small = np.flatnonzero(size > LARGE), size[which] <= LARGE
+    if late.any():
+        jobs = [(np.flatnonzero(small & ~late), np.flatnonzero(late))]
+        jobs += [(np.flatnonzero((which == g) & ~late), np.flatnonzero((which != g) & late)) for g in large]
+    else:
+        jobs = [(np.flatnonzero(small), None)]
+        jobs += [(np.flatnonzero(which == g), np.flatnonzero(small | (which > g))) for g in large]
+    out, held, n = np.zeros((0, 2), np.int64), [], 0
+    for a, b in jobs:
+        if not len(a) or (b is not None and not len(b)):
+            continue
+        rows_b = a if b is None else b
+        for x, y in close_pairs(sig[a], None if b is None else sig[b], radius, parts):
+            ends = np.stack([root[a[x]], root[rows_b[y]]], axis=1)
+            ends = ends[ends[:, 0] != ends[:, 1]]
+            held.append(np.sort(ends, axis=1))
+            n += len(ends)
+            if n > 1 << 20:
+                out, held, n = np.unique(np.concatenate([out, *held]), axis=0), [], 0
+    return np.unique(np.concatenate([out, *held]), axis=0)
+
+
+def _task_links(radius: int, shares: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            task, root, late = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            sig = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(n, _WORDS)
+            for t in np.unique(task):
+                here = task == t
+                held.setdefault(int(t), []).append((sig[here], root[here], late[here]))
+        for t in sorted(held):
+            found = linked_roots(*(np.concatenate(x) for x in zip(*held.pop(t), strict=True)), radius, range(t % shares, PARTS, shares))
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    return run
+
+
+def missed_links(labelled: DataFrame, radius: int) -> DataFrame:
+    """(a, b), a < b: the roots of all signatures of ``labelled`` (sig, root) that are within the radius and not of one root.
+
+    A task for each pair of blocks of signatures; while those are few, tasks share the parts of a signature.
+    """
+    blocks = max(1, math.ceil(labelled.count() / BLOCK))
+    pairs = blocks * (blocks + 1) // 2
+    shares = min(PARTS, math.ceil(64 / pairs))
+    placed = labelled.select("root", "sig", F.pmod(F.xxhash64("sig"), F.lit(blocks)).alias("block")).withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(blocks * shares - 1))))
+    low, high = (f"{f}(block, to div {shares})" for f in ("least", "greatest"))
+    task = F.expr(f"int(({high} * ({high} + 1) div 2 + {low}) * {shares} + to % {shares})")
+    dealt = placed.select(task.alias("task"), "root", F.expr(f"block > to div {shares}").alias("late"), "sig").repartitionById(pairs * shares, "task")
+    return dealt.mapInArrow(_task_links(radius, shares), "a long, b long").distinct()
+
+
 # ---------------------------------------------------------------- components
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a < b): the smallest node of its component.
@@ -328,9 +444,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, recall: float = RECAL
     pairs = rows.repartition(n, "key").sortWithinPartitions("key", "rep").mapInArrow(_bucket_edges(radius), "a long, b long")
     # exact copies take no part in the rounds: they follow the first of their signature
     roots = components(pairs)
-    follow = per_doc.join(same, "sig").select("id", "rep").distinct()
-    out = follow.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("id").alias("doc_id"), F.coalesce("root", "rep").alias("duplicate_of"))
-    return out.where("doc_id <> duplicate_of")
+    labelled = cut_lineage(same.join(roots, F.col("rep") == F.col("node"), "left").select("sig", F.coalesce("root", "rep").alias("root")))
+    missed = cut_lineage(missed_links(labelled, radius))
+    if not missed.isEmpty():
+        joined = components(missed).select("node", F.col("root").alias("first"))
+        labelled = labelled.join(joined, F.col("root") == F.col("node"), "left").select("sig", F.coalesce("first", "root").alias("root"))
+    return per_doc.join(labelled, "sig").select(F.col("id").alias("doc_id"), F.col("root").alias("duplicate_of")).distinct().where("doc_id <> duplicate_of")
 
 
 def _keys_udf(width: int, tables: int):

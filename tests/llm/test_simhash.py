@@ -156,3 +156,45 @@ def test_endless_words_are_cut_alike():
     assert hashes(f" {long}") == alone
     assert hashes(f"some words {long}")[2:] == alone
     assert hashes(f"some words {long} behind")[2:-1] == alone
+
+
+@pytest.mark.parametrize("radius", [0, 1, 14, 15, 16, 46, 70])
+def test_exact_pass_has_all_pairs(radius):
+    sig = clustered(400, 60, 40, radius)
+    near = distances(sig) <= radius
+    got = {(min(i, j), max(i, j)) for x, y in S.close_pairs(sig, None, radius) for i, j in zip(x.tolist(), y.tolist(), strict=True)}
+    assert got == {(int(i), int(j)) for i, j in np.argwhere(np.triu(near, 1))}
+    got = {(i, j) for x, y in S.close_pairs(sig[:150], sig[150:], radius) for i, j in zip(x.tolist(), y.tolist(), strict=True)}
+    assert got == {(int(i), int(j)) for i, j in np.argwhere(near[:150, 150:])}
+
+
+@pytest.mark.parametrize(("block", "large"), [(1 << 19, 4096), (90, 4096), (90, 5), (1 << 19, 5)])
+def test_links_of_roots_over_blocks(spark, monkeypatch, block, large):
+    """Signatures of which half have a root in common, in one block and many, with large components and without."""
+    monkeypatch.setattr(S, "BLOCK", block)
+    monkeypatch.setattr(S, "LARGE", large)
+    sig = clustered(300, 40, 36, 8)
+    near = np.triu(distances(sig) <= S.RADIUS, 1)
+    known = groups(300, np.argwhere(near & (np.random.default_rng(1).random(near.shape) < 0.05)))
+    root = np.arange(300)
+    for g in known:
+        root[list(g)] = min(g)
+    want = {tuple(sorted((int(root[i]), int(root[j])))) for i, j in np.argwhere(near) if root[i] != root[j]}
+    late = np.zeros(300, bool)
+    assert {tuple(x) for x in S.linked_roots(sig, root, late, S.RADIUS).tolist()} == want
+    rows = spark.createDataFrame([(bytearray(x.tobytes()), int(r)) for x, r in zip(sig, root, strict=True)], "sig binary, root long")
+    assert {(r["a"], r["b"]) for r in S.missed_links(rows, S.RADIUS).collect()} == want
+
+
+def test_what_the_tables_miss_is_found(spark, sf):
+    """With one table only, as at the default, the groups are those of all pairs of signatures."""
+    docs = table(spark, sf, "documents")
+    pdf = docs.where("text <> ''").select("doc_id", "text").toPandas()
+    sig = np.frombuffer(b"".join(S.signatures(pa.array(pdf["text"])).to_pylist()), np.uint64).reshape(len(pdf), -1)
+    radius = 80  # more pairs at the edge than the default has on so few rows
+    want = {}
+    for g in groups(len(pdf), np.argwhere(np.triu(distances(sig) <= radius, 1))):
+        ids = sorted(int(pdf["doc_id"][i]) for i in g)
+        want |= {x: ids[0] for x in ids[1:]}
+    got = {r["doc_id"]: r["duplicate_of"] for r in S.near_duplicates(docs, radius, recall=0.01).collect()}
+    assert got == want
