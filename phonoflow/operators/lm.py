@@ -12,14 +12,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from phonoflow.functions import grams
 from phonoflow.functions.common import let
+from phonoflow.functions.grams import END, START
 from phonoflow.functions.phonemes import LOG_ZERO
-from phonoflow.session import cut_lineage
+from phonoflow.session import bound_batches, cut_lineage
 
-START, END = "<s>", "</s>"
 LN10 = 2.302585092994046
 #: Pairs of words that a broadcast may hold.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of files whose n-grams one task folds, tasks at most, and what Spark says of a size that it doesn't know.
+BUCKET_BYTES, MOST_BUCKETS, UNKNOWN_BYTES = 3 << 20, 20_000, 1 << 50
 
 
 def padded(words: Column) -> Column:
@@ -44,10 +47,26 @@ def clamp_order(order: int) -> int:
     return min(3, max(2, order))
 
 
+def _buckets(df: DataFrame) -> int:
+    """Tasks that n-grams are folded in: one for each BUCKET_BYTES of what is read, at least those of a shuffle."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(-(-size // BUCKET_BYTES), MOST_BUCKETS)) if size < UNKNOWN_BYTES else least
+
+
+def _blocks(sentences: DataFrame, words: str, n: int, by: list[int], buckets: int, pad: int = 0, among: list | None = None) -> DataFrame:
+    """Packed counts of n-grams, by bucket."""
+    bound_batches(sentences.sparkSession)
+    run = lambda batches: grams.counted(batches, n, by, buckets, pad, among)
+    return sentences.where(F.size(words) > 0).select(words).mapInArrow(run, "bucket int, block binary").repartitionById(buckets, "bucket").select("block")
+
+
 def counts(sentences: DataFrame, n: int, words: str = "words") -> DataFrame:
     """A1: (w1..wn, c) over all sentences; empty ones don't count."""
-    grams = sentences.where(F.size(words) > 0).select(F.explode(ngrams(padded(F.col(words)), n)).alias("g"))
-    return grams.groupBy(*[F.col(f"g.w{k + 1}").alias(f"w{k + 1}") for k in range(n)]).agg(F.count("*").alias("c"))
+    names = [*(f"w{k + 1}" for k in range(n)), "c"]
+    packed = _blocks(sentences, words, n, list(range(n)), _buckets(sentences))
+    return packed.mapInArrow(grams.reduced(n, lambda g: grams.count_rows(g, names)), ", ".join(f"{w} string" for w in names[:-1]) + ", c long")
 
 
 def windows(sentences: DataFrame, n: int, words: str = "words", among: DataFrame | None = None) -> DataFrame:
@@ -60,10 +79,10 @@ def windows(sentences: DataFrame, n: int, words: str = "words", among: DataFrame
     def make(w: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.struct(*[F.get(w, i + k).alias(f"w{k + 1}") for k in range(n)]))
 
-    grams = sentences.where(F.size(words) > 0).select(F.explode(let(padded(F.col(words)), make)).alias("g")).select("g.*")
+    found = sentences.where(F.size(words) > 0).select(F.explode(let(padded(F.col(words)), make)).alias("g")).select("g.*")
     if among is not None:
-        grams = grams.join(F.broadcast(among) if among.count() <= BROADCAST_ROWS else among, among.columns, "left_semi")
-    return grams.groupBy(*grams.columns).agg(F.count("*").alias("c"))
+        found = found.join(F.broadcast(among) if among.count() <= BROADCAST_ROWS else among, among.columns, "left_semi")
+    return found.groupBy(*found.columns).agg(F.count("*").alias("c"))
 
 
 def rolled(found: DataFrame, n: int) -> DataFrame:
@@ -73,10 +92,10 @@ def rolled(found: DataFrame, n: int) -> DataFrame:
     return whole if f"w{n + 1}" not in found.columns else whole.groupBy(*names).agg(F.sum("c").alias("c"))
 
 
-def context_totals(grams: DataFrame, n: int) -> DataFrame:
+def context_totals(found: DataFrame, n: int) -> DataFrame:
     """A3: (history, n_h, t_h): how often, and with how many successors, a history occurs."""
     history = [f"w{k + 1}" for k in range(n - 1)]
-    return grams.groupBy(*history).agg(F.sum("c").alias("n_h"), F.count("*").alias("t_h"))
+    return found.groupBy(*history).agg(F.sum("c").alias("n_h"), F.count("*").alias("t_h"))
 
 
 @dataclass(frozen=True)
@@ -95,10 +114,10 @@ def witten_bell_unigrams(uni: DataFrame) -> DataFrame:
     return uni.crossJoin(F.broadcast(uni.agg(F.sum("c").alias("n")))).select(F.col("w1").alias("w"), (F.col("c") / F.col("n")).alias("p"))
 
 
-def witten_bell(grams: DataFrame, n: int) -> DataFrame:
+def witten_bell(found: DataFrame, n: int) -> DataFrame:
     """A4: (w1..wn, p): c / (N(h) + T(h))."""
     history = [f"w{k + 1}" for k in range(n - 1)]
-    return grams.join(context_totals(grams, n), history).select(*[f"w{k + 1}" for k in range(n)], (F.col("c") / (F.col("n_h") + F.col("t_h"))).alias("p"))
+    return found.join(context_totals(found, n), history).select(*[f"w{k + 1}" for k in range(n)], (F.col("c") / (F.col("n_h") + F.col("t_h"))).alias("p"))
 
 
 def _weight(upper: Column, lower: Column) -> Column:
