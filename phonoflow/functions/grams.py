@@ -198,6 +198,11 @@ def count_rows(g: Grams, names: list[str]) -> Iterator[pa.RecordBatch]:
     return handed_back(g, [g.values[:, 0]], names)
 
 
+def sum_rows(g: Grams, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The words and all sums."""
+    return handed_back(g, list(g.values.T), names)
+
+
 def smoothed_rows(g: Grams, names: list[str]) -> Iterator[pa.RecordBatch]:
     """A4: the words and c / (N(h) + T(h)); all rows of a history are in one bucket."""
     first, group = g.group(len(g.keys) - 1)

@@ -69,6 +69,34 @@ def counts(sentences: DataFrame, n: int, words: str = "words") -> DataFrame:
     return packed.mapInArrow(grams.reduced(n, lambda g: grams.count_rows(g, names)), ", ".join(f"{w} string" for w in names[:-1]) + ", c long")
 
 
+def smoothed(sentences: DataFrame, n: int, words: str = "words", among: DataFrame | None = None) -> DataFrame:
+    """A4: (w1..wn, p): c / (N(h) + T(h)), counted and smoothed in one exchange, by history.
+
+    With ``among`` only n-grams whose first words are a row of it; a small one is sent to the tasks, so that the others
+    aren't exchanged.
+    """
+    names, asked = [*(f"w{k + 1}" for k in range(n)), "p"], None
+    if among is not None and (some := among.limit(BROADCAST_ROWS + 1).toArrow()).num_rows <= BROADCAST_ROWS:
+        asked = [c.combine_chunks() for c in some.columns]
+    packed = _blocks(sentences, words, n, list(range(max(1, n - 1))), _buckets(sentences), among=asked)
+    got = packed.mapInArrow(grams.reduced(n, lambda g: grams.smoothed_rows(g, names)), ", ".join(f"{w} string" for w in names[:-1]) + ", p double")
+    return got if among is None or asked is not None else got.join(among, among.columns, "left_semi")
+
+
+def history_sums(sentences: DataFrame, n: int, words: str = "words") -> DataFrame:
+    """A2, A3, A5: (w1..wn, c, n, t, l) of histories of n words, END too: how often they occur, and with a successor, how many
+    successors they have, and how often these occur behind the last n - 1 words of the history (n = 1: anywhere).
+
+    The (n+1)-grams are counted where the lower counts are, by their last n words, then added up by history.
+    """
+    buckets = _buckets(sentences)
+    keys = list(range(n))
+    packed = _blocks(sentences, words, n + 1, [k + 1 for k in keys], buckets, pad=1)
+    packed = packed.mapInArrow(grams.reduced(n + 1, lambda g: grams.blocks(grams.histories(g), keys, buckets)), "bucket int, block binary").repartitionById(buckets, "bucket").select("block")
+    names = [*(f"w{k + 1}" for k in keys), "c", "n", "t", "l"]
+    return packed.mapInArrow(grams.reduced(n, lambda g: grams.sum_rows(g, names)), ", ".join(f"{w} string" for w in names[:n]) + ", c long, n long, t long, l long")
+
+
 def windows(sentences: DataFrame, n: int, words: str = "words", among: DataFrame | None = None) -> DataFrame:
     """(w1..wn, c): what stands at every place of all sentences and behind it, nulls beyond the end.
 

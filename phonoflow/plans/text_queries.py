@@ -72,13 +72,13 @@ def lm_context_stats(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {_DOCS}, {_G2}, {_P2} SELECT w1, w2, round(log10(p), 6) AS lp FROM p2")
 def wb_bigram_prob(spark: SparkSession, sf: str) -> DataFrame:
     """A4."""
-    return lm.witten_bell(lm.counts(documents(spark, sf), 2), 2).select("w1", "w2", F.round(F.log10("p"), 6).alias("lp"))
+    return lm.smoothed(documents(spark, sf), 2).select("w1", "w2", F.round(F.log10("p"), 6).alias("lp"))
 
 
 @query(f"WITH {_DOCS}, {_G3}, {_P3} SELECT w1, w2, w3, round(log10(p), 6) AS lp FROM p3")
 def wb_trigram_prob(spark: SparkSession, sf: str) -> DataFrame:
     """A4."""
-    return lm.witten_bell(lm.counts(documents(spark, sf), 3), 3).select("w1", "w2", "w3", F.round(F.log10("p"), 6).alias("lp"))
+    return lm.smoothed(documents(spark, sf), 3).select("w1", "w2", "w3", F.round(F.log10("p"), 6).alias("lp"))
 
 
 @query(f"WITH {_DOCS}, {_G1}, {_G2}, {_P1}, {_P2}, {_BO1} SELECT h, round(bo, 6) AS bo FROM b1")

@@ -43,3 +43,33 @@ def test_pieces_and_chunks(monkeypatch):
     assert {(r["a"], r["b"], r["c"]): r["n"] for r in rows} == dict(plain(3, lines))
     keys = [np.array([5, 1, 5]), np.array([2, 2, 2]), np.array([-1, 7, 3])]
     assert np.argsort(G.packed_key(keys, 1 << 40)).tolist() == [1, 0, 2]
+
+
+def totals(n):
+    """By history of n - 1 words: how often it has a successor, and how many."""
+    every, kinds = Counter(), Counter()
+    for g, c in plain(n).items():
+        every[g[:-1]] += c
+        kinds[g[:-1]] += 1
+    return every, kinds
+
+
+@pytest.mark.parametrize("n", [2, 3])
+def test_smoothing_takes_one_exchange_of_blocks(spark, sentences, n):
+    every, kinds = totals(n)
+    want = {g: c / (every[g[:-1]] + kinds[g[:-1]]) for g, c in plain(n).items()}
+    got = lm.smoothed(sentences, n)
+    assert {tuple(r[:-1]): r["p"] for r in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    asked = spark.createDataFrame([("a", "b")[: n - 1], ("<s>", "a")[: n - 1], ("no", "such")[: n - 1]], ["w1", "w2"][: n - 1])
+    some = {g: p for g, p in want.items() if g[:-1] in {("a", "b")[: n - 1], ("<s>", "a")[: n - 1]}}
+    assert {tuple(r[:-1]): r["p"] for r in lm.smoothed(sentences, n, among=asked).collect()} == some
+
+
+@pytest.mark.parametrize("n", [1, 2])
+def test_history_sums(sentences, n):
+    at, low, high = plain(n), plain(n), plain(n + 1)
+    every, kinds = totals(n + 1)
+    want = {h: (at[h], every[h], kinds[h], sum(low[g[1:]] for g in high if g[:-1] == h)) for h in at}
+    assert {tuple(r[:-4]): tuple(r[-4:]) for r in lm.history_sums(sentences, n).collect()} == want
