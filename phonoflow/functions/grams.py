@@ -198,17 +198,23 @@ def count_rows(g: Grams, names: list[str]) -> Iterator[pa.RecordBatch]:
     return handed_back(g, [g.values[:, 0]], names)
 
 
-def sum_rows(g: Grams, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """The words and all sums."""
-    return handed_back(g, list(g.values.T), names)
+def smooth(g: Grams) -> np.ndarray:
+    """A4: c / (N(h) + T(h)) of each row; all rows of a history are in one bucket. 1 for rows of one word."""
+    c = g.values[:, 0]
+    if len(g.keys) == 1:
+        return np.ones(len(c))
+    first, group = g.group(len(g.keys) - 1)
+    return c / (np.add.reduceat(c, first) + np.diff(np.r_[first, len(c)]))[group]
 
 
 def smoothed_rows(g: Grams, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """A4: the words and c / (N(h) + T(h)); all rows of a history are in one bucket."""
-    first, group = g.group(len(g.keys) - 1)
-    c = g.values[:, 0]
-    whole = np.add.reduceat(c, first) + np.diff(np.r_[first, len(c)])
-    return handed_back(g, [c / whole[group]], names)
+    """The words and their probability."""
+    return handed_back(g, [smooth(g)], names)
+
+
+def sum_rows(g: Grams, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The words, their probability and all sums."""
+    return handed_back(g, [smooth(g), *g.values.T], names)
 
 
 def histories(g: Grams) -> Grams:

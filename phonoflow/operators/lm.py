@@ -2,7 +2,7 @@
 
 A model is three narrow tables: uni (w), bi (h, w) and tri (h2, h1, w), with log10 columns as ARPA has them, and natural
 logs when it is used for scoring. Counting needs no window: n-grams are made inside each sentence's array, so the only
-shuffle is the partial aggregation's.
+shuffle is that of packed blocks (functions/grams.py).
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from phonoflow.functions import grams
 from phonoflow.functions.common import let
 from phonoflow.functions.grams import END, START
 from phonoflow.functions.phonemes import LOG_ZERO
-from phonoflow.session import bound_batches, cut_lineage
+from phonoflow.session import bound_batches, stored
 
 LN10 = 2.302585092994046
 #: Pairs of words that a broadcast may hold.
@@ -84,40 +84,18 @@ def smoothed(sentences: DataFrame, n: int, words: str = "words", among: DataFram
 
 
 def history_sums(sentences: DataFrame, n: int, words: str = "words") -> DataFrame:
-    """A2, A3, A5: (w1..wn, c, n, t, l) of histories of n words, END too: how often they occur, and with a successor, how many
-    successors they have, and how often these occur behind the last n - 1 words of the history (n = 1: anywhere).
+    """A2-A5: (w1..wn, p, c, n, t, l) of histories of n words, END too: their own probability (n = 2; 1 for n = 1), how often they
+    occur, and with a successor, how many successors they have, and how often these occur behind the last n - 1 words
+    of the history (n = 1: anywhere).
 
-    The (n+1)-grams are counted where the lower counts are, by their last n words, then added up by history.
+    The (n+1)-grams are counted where the lower counts are, by their last n words, then added up by the history's first word.
     """
     buckets = _buckets(sentences)
-    keys = list(range(n))
-    packed = _blocks(sentences, words, n + 1, [k + 1 for k in keys], buckets, pad=1)
-    packed = packed.mapInArrow(grams.reduced(n + 1, lambda g: grams.blocks(grams.histories(g), keys, buckets)), "bucket int, block binary").repartitionById(buckets, "bucket").select("block")
-    names = [*(f"w{k + 1}" for k in keys), "c", "n", "t", "l"]
-    return packed.mapInArrow(grams.reduced(n, lambda g: grams.sum_rows(g, names)), ", ".join(f"{w} string" for w in names[:n]) + ", c long, n long, t long, l long")
-
-
-def windows(sentences: DataFrame, n: int, words: str = "words", among: DataFrame | None = None) -> DataFrame:
-    """(w1..wn, c): what stands at every place of all sentences and behind it, nulls beyond the end.
-
-    One pass over the text has the counts of all orders up to n; see :func:`rolled`. With ``among`` only those places count
-    whose first words are a row of it; a small one is broadcast, so that the others aren't shuffled.
-    """
-
-    def make(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.struct(*[F.get(w, i + k).alias(f"w{k + 1}") for k in range(n)]))
-
-    found = sentences.where(F.size(words) > 0).select(F.explode(let(padded(F.col(words)), make)).alias("g")).select("g.*")
-    if among is not None:
-        found = found.join(F.broadcast(among) if among.count() <= BROADCAST_ROWS else among, among.columns, "left_semi")
-    return found.groupBy(*found.columns).agg(F.count("*").alias("c"))
-
-
-def rolled(found: DataFrame, n: int) -> DataFrame:
-    """A1: (w1..wn, c) of :func:`windows` of the same or a larger size."""
-    names = [f"w{k + 1}" for k in range(n)]
-    whole = found.where(F.col(names[-1]).isNotNull())
-    return whole if f"w{n + 1}" not in found.columns else whole.groupBy(*names).agg(F.sum("c").alias("c"))
+    packed = _blocks(sentences, words, n + 1, [k + 1 for k in range(n)], buckets, pad=1)
+    packed = packed.mapInArrow(grams.reduced(n + 1, lambda g: grams.blocks(grams.histories(g), [0], buckets)), "bucket int, block binary").repartitionById(buckets, "bucket").select("block")
+    names = [*(f"w{k + 1}" for k in range(n)), "p", "c", "n", "t", "l"]
+    kinds = ["string"] * n + ["double"] + ["long"] * 4
+    return packed.mapInArrow(grams.reduced(n, lambda g: grams.sum_rows(g, names)), ", ".join(f"{a} {b}" for a, b in zip(names, kinds, strict=True)))
 
 
 def context_totals(found: DataFrame, n: int) -> DataFrame:
@@ -137,29 +115,11 @@ class NGramModel:
     oov: float = 0.0
 
 
-def witten_bell_unigrams(uni: DataFrame) -> DataFrame:
-    """A2, A4: (w, p): c / N, with N over all, the sentence marks too."""
-    return uni.crossJoin(F.broadcast(uni.agg(F.sum("c").alias("n")))).select(F.col("w1").alias("w"), (F.col("c") / F.col("n")).alias("p"))
-
-
-def witten_bell(found: DataFrame, n: int) -> DataFrame:
-    """A4: (w1..wn, p): c / (N(h) + T(h))."""
-    history = [f"w{k + 1}" for k in range(n - 1)]
-    return found.join(context_totals(found, n), history).select(*[f"w{k + 1}" for k in range(n)], (F.col("c") / (F.col("n_h") + F.col("t_h"))).alias("p"))
-
-
 def _weight(upper: Column, lower: Column) -> Column:
     """A5: log10 of (1 - upper) / (1 - lower); 0 where the lower sum leaves nothing."""
     return F.when((lower < 1) & (upper < 1), F.log10((1 - upper) / (1 - lower))).otherwise(F.lit(0.0))
 
 
-def backoff_unigrams(p_bi: DataFrame, p_uni: DataFrame) -> DataFrame:
-    """A5: (h, bo): one aggregation of the bigrams by history, joined with the successors' unigrams."""
-    lower = p_uni.select(F.col("w").alias("w2"), F.col("p").alias("pl"))
-    sums = p_bi.join(lower, "w2").groupBy("w1").agg(F.sum("p").alias("u"), F.sum("pl").alias("l"))
-    return sums.select(F.col("w1").alias("h"), _weight(F.col("u"), F.col("l")).alias("bo"))
-
-
 def backoff_bigrams(p_tri: DataFrame, p_bi: DataFrame) -> DataFrame:
     """A5: (h2, h1, bo) of two-word histories."""
     lower = p_bi.select(F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("p").alias("pl"))
@@ -167,33 +127,44 @@ def backoff_bigrams(p_tri: DataFrame, p_bi: DataFrame) -> DataFrame:
     return sums.select(F.col("w1").alias("h2"), F.col("w2").alias("h1"), _weight(F.col("u"), F.col("l")).alias("bo"))
 
 
+def backoff_of_sums(lower: Column) -> Column:
+    """A5: the weight of a row of :func:`history_sums`, ``lower`` being the sum of its successors' lower probabilities; 0 without successors."""
+    return F.when(F.col("t") > 0, _weight(F.col("n") / (F.col("n") + F.col("t")), lower)).otherwise(F.lit(0.0))
+
+
+def unigrams(sentences: DataFrame, words: str = "words") -> tuple[DataFrame, DataFrame]:
+    """A2, A4, A5: (w, p, bo, t), p = c / N with N over all, the sentence marks too, and the sums they come from; one written table."""
+    one = stored(history_sums(sentences, 1, words))
+    total = F.lit(float(one.agg(F.sum("c")).first()[0] or 1))
+    return one.select(F.col("w1").alias("w"), (F.col("c") / total).alias("p"), backoff_of_sums(F.col("l") / total).alias("bo"), "t"), one
+
+
 def build(sentences: DataFrame, order: int = 3, words: str = "words", oov: float = 0.0, queries: DataFrame | None = None) -> NGramModel:
-    """The smoothed model of a corpus. The text is read once; the counts of the highest order are kept in the checkpoint folder and rolled up.
+    """The smoothed model of a corpus. Each order is counted and smoothed in a pass of its own, whose result is not kept: who uses a table often stores it.
 
     With ``queries`` (h2, h1, w) only what they can ask for is smoothed: n-grams of their histories, whole ones, so that
-    every value is that of the whole model.
+    every value is that of the whole model; these tables are written.
     """
     order = clamp_order(order)
-    if queries is None:
-        found = cut_lineage(windows(sentences, order, words))
-        uni, two, three = rolled(found, 1), rolled(found, 2), None if order == 2 else rolled(found, 3)
+    single, one = unigrams(sentences, words)
+    uni = single.select("w", F.log10("p").alias("lp"), "bo")
+    pairs = lambda p2: p2.select(F.col("w1").alias("h"), F.col("w2").alias("w"), F.log10("p").alias("lp"))
+    if queries is not None:
+        asked = stored(queries.select(F.col("h2").alias("w1"), F.col("h1").alias("w2")).distinct())
+        p2 = stored(smoothed(sentences, 2, words, asked.select(F.col("w2").alias("w1")).where("w1 is not null").distinct()))
+        if order == 3:
+            p3 = stored(smoothed(sentences, 3, words, asked.where("w1 is not null and w2 is not null")))
+            bo2 = backoff_bigrams(p3, p2).select(F.col("h2").alias("h"), F.col("h1").alias("w"), "bo")
+            bi = pairs(p2).join(bo2, ["h", "w"], "left").select("h", "w", "lp", F.coalesce("bo", F.lit(0.0)).alias("bo"))
     else:
-        found = cut_lineage(windows(sentences, 2, words))
-        asked = cut_lineage(queries.select(F.col("h2").alias("w1"), F.col("h1").alias("w2")).distinct())
-        uni, two = rolled(found, 1), rolled(found, 2).join(asked.select(F.col("w2").alias("w1")).distinct(), "w1", "left_semi")
-        three = None if order == 2 else rolled(windows(sentences, 3, words, asked.where("w1 is not null")), 3)
-    p1 = cut_lineage(witten_bell_unigrams(uni))
-    p2 = cut_lineage(witten_bell(two, 2))
-    bo1 = backoff_unigrams(p2, p1).withColumnRenamed("h", "w")
-    uni = p1.join(bo1, "w", "left").select("w", F.log10("p").alias("lp"), F.coalesce("bo", F.lit(0.0)).alias("bo"))
-    two = p2.select(F.col("w1").alias("h"), F.col("w2").alias("w"), F.log10("p").alias("lp"))
+        p2, p3 = smoothed(sentences, 2, words), smoothed(sentences, 3, words)
+        if order == 3:
+            # p comes with the sums, as all pairs of a first word are in one bucket; what follows the second word is one join
+            behind = one.select(F.col("w1").alias("w2"), (F.col("n") + F.col("t")).alias("_d"))
+            bi = history_sums(sentences, 2, words).join(behind, "w2").select(F.col("w1").alias("h"), F.col("w2").alias("w"), F.log10("p").alias("lp"), backoff_of_sums(F.col("l") / F.col("_d")).alias("bo"))
     if order == 2:
-        return NGramModel(2, uni, two.withColumn("bo", F.lit(0.0)), None, oov)
-    p3 = cut_lineage(witten_bell(three, 3))
-    bo2 = backoff_bigrams(p3, p2).select(F.col("h2").alias("h"), F.col("h1").alias("w"), "bo")
-    bi = two.join(bo2, ["h", "w"], "left").select("h", "w", "lp", F.coalesce("bo", F.lit(0.0)).alias("bo"))
-    tri = p3.select(F.col("w1").alias("h2"), F.col("w2").alias("h1"), F.col("w3").alias("w"), F.log10("p").alias("lp"))
-    return NGramModel(3, uni, bi, tri, oov)
+        return NGramModel(2, uni, pairs(p2).withColumn("bo", F.lit(0.0)), None, oov)
+    return NGramModel(3, uni, bi, p3.select(F.col("w1").alias("h2"), F.col("w2").alias("h1"), F.col("w3").alias("w"), F.log10("p").alias("lp")), oov)
 
 
 def natural(model: NGramModel) -> NGramModel:

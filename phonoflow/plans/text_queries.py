@@ -84,8 +84,7 @@ def wb_trigram_prob(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {_DOCS}, {_G1}, {_G2}, {_P1}, {_P2}, {_BO1} SELECT h, round(bo, 6) AS bo FROM b1")
 def backoff_weights(spark: SparkSession, sf: str) -> DataFrame:
     """A5."""
-    found = cut_lineage(lm.windows(documents(spark, sf), 2))
-    return lm.backoff_unigrams(lm.witten_bell(lm.rolled(found, 2), 2), lm.witten_bell_unigrams(lm.rolled(found, 1))).select("h", F.round("bo", 6).alias("bo"))
+    return lm.unigrams(documents(spark, sf))[0].where("t > 0").select(F.col("w").alias("h"), F.round("bo", 6).alias("bo"))
 
 
 _CHAIN = f"{_DOCS}, {_G1}, {_G2}, {_G3}, {_P1}, {_P2}, {_P3}, {_BO1}, {_BO2}"

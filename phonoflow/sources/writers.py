@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from phonoflow.functions import text as X
 from phonoflow.operators.lexicon import existing_only
 from phonoflow.operators.lm import NGramModel, arpa_rows
+from phonoflow.session import stored
 
 
 def write_lines(rows: DataFrame, line: Column, path: str, order: list[Column | str] | None = None, one_file: bool = False) -> None:
@@ -22,7 +23,7 @@ def write_lines(rows: DataFrame, line: Column, path: str, order: list[Column | s
 def arpa_lines(model: NGramModel) -> DataFrame:
     """K1: (part, ngram, value): all lines of the file; sorting by (part, ngram) gives their order."""
     spark = model.uni.sparkSession
-    rows = arpa_rows(model)
+    rows = stored(arpa_rows(model))
     sizes = {r["ord"]: r["n"] for r in rows.groupBy("ord").agg(F.count("*").alias("n")).collect()}
     orders = [n for n in range(1, model.order + 1) if n < 3 or sizes.get(3)]
     marks = [(0.0, "0", "\\data\\"), *[(0.0, str(n), f"ngram {n}={sizes.get(n, 0)}") for n in orders]]
