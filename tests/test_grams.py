@@ -76,3 +76,11 @@ def test_history_sums(sentences, n):
     assert {tuple(r[:n]): tuple(r[-4:]) for r in got} == want
     if n == 2:
         assert {tuple(r[:n]): r["p"] for r in got} == {tuple(r[:n]): r["p"] for r in lm.smoothed(sentences, 2).collect()}
+
+
+def test_a_whole_model_keeps_no_ngrams(spark, sentences):
+    """Nothing but the table of single words is written; the pairs and triples of a model are counted where they are used."""
+    plan = lm.arpa_rows(lm.build(sentences.select("words"), 3))._jdf.queryExecution().optimizedPlan()
+    leaves = [plan.collectLeaves().apply(i).toString() for i in range(plan.collectLeaves().size())]
+    assert not any(w in leaf for leaf in leaves for w in ("w2", "w3", "_d")), leaves
+    assert sum("w1" in leaf for leaf in leaves) <= 2, leaves
