@@ -84,3 +84,21 @@ def test_a_whole_model_keeps_no_ngrams(spark, sentences):
     leaves = [plan.collectLeaves().apply(i).toString() for i in range(plan.collectLeaves().size())]
     assert not any(w in leaf for leaf in leaves for w in ("w2", "w3", "_d")), leaves
     assert sum("w1" in leaf for leaf in leaves) <= 2, leaves
+
+
+def test_lines_of_a_file_are_made_once(spark, sentences):
+    """Counting the lines and sorting them read a written table; n-grams are not counted anew for each."""
+    from phonoflow.sources.writers import arpa_lines
+
+    plan = arpa_lines(lm.build(sentences.select("words"), 2))._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "Relation" in plan
+
+
+def test_what_is_asked_for_is_written_and_nothing_else(spark, sentences):
+    """The pruned model has the values of the whole one, from tables that hold the asked histories alone."""
+    q = spark.createDataFrame([(None, "<s>", "a"), ("<s>", "a", "b"), ("a", "b", "c")], "h2 string, h1 string, w string")
+    whole, some = lm.build(sentences, 3), lm.build(sentences, 3, queries=q)
+    rows = lambda m: [tuple(r) for r in lm.scored(lm.natural(m), q).orderBy("w").collect()]
+    assert all(a[:3] == b[:3] and a[3] == pytest.approx(b[3]) for a, b in zip(rows(some), rows(whole), strict=True))
+    assert {r["h"] for r in some.bi.select("h").collect()} == {"<s>", "a", "b"}
+    assert "Relation" in some.tri._jdf.queryExecution().optimizedPlan().toString()
