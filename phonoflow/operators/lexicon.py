@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from phonoflow.functions import phonemes as P
 from phonoflow.functions import text as X
 
+#: Entries of a word that meet its rows in one task, and rows that a block may hold.
+ENTRIES, BLOCK_ROWS = 4096, 1 << 14
+
 
 def numbered(entries: DataFrame, order: str = "pos") -> DataFrame:
     """pron_idx: the place of a pronunciation among those of its word."""
@@ -24,9 +27,21 @@ def first_pronunciation(rows: DataFrame, dictionary: DataFrame, word: str = "w")
 
 
 def all_pronunciations(rows: DataFrame, dictionary: DataFrame, word: str = "w") -> DataFrame:
-    """Every pronunciation of each row's word."""
-    d = dictionary.select(F.col("word").alias("_w"), "reading", "phonemes", "pron_idx")
-    return rows.join(d, F.col(word) == F.col("_w")).drop("_w")
+    """Every pronunciation of each row's word.
+
+    Rows are gathered in blocks of a word, an entry meets a block at a time, and a word's entries are dealt out by
+    ENTRIES of them: no task has a whole word, and what is written repeats an entry behind itself and a block's rows within
+    some kilobytes, so it packs well however many there are.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rest = [c for c in rows.columns if c != word]
+    d = dictionary.select(F.col("word").alias("_w"), "reading", "phonemes", "pron_idx", F.expr(f"pron_idx div {ENTRIES}").alias("_deal"))
+    deals = d.groupBy(F.col("_w").alias("_v")).agg(F.max("_deal").alias("_most"))
+    blocks = rows.where(F.col(word).isNotNull()).groupBy(F.col(word).alias("_v"), F.expr(f"monotonically_increasing_id() div {BLOCK_ROWS}").alias("_block")).agg(F.collect_list(F.struct(F.lit(0).alias("_"), *rest)).alias("_rows"))
+    blocks = blocks.join(deals, "_v").select("_v", "_rows", F.explode(F.sequence(F.lit(0).cast("long"), "_most")).alias("_to"))
+    met = d.repartition(parts, "_w", "_deal").join(blocks.repartition(parts, "_v", "_to"), (F.col("_w") == F.col("_v")) & (F.col("_deal") == F.col("_to")))
+    each = met.select(F.col("_w").alias(word), "reading", "phonemes", "pron_idx", F.explode("_rows").alias("_row"))
+    return each.select(*(F.col(word) if c == word else F.col(f"_row.{c}") for c in rows.columns), "reading", "phonemes", "pron_idx")
 
 
 def words_of(dictionary: DataFrame) -> DataFrame:
