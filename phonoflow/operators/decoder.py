@@ -139,6 +139,8 @@ def grid(spark: SparkSession, lm_weights: list[float], word_penalties: list[floa
     return out.drop("id")
 
 
+#: Cases whose emissions are held at once.
+CASES = 512
 GRID = ["lm_weight", "word_penalty", "max_tokens", "max_word_ends"]
 
 
@@ -156,12 +158,13 @@ def tuned(cases: DataFrame, params: DataFrame, r: Recognizer) -> DataFrame:
 
     def run(batches):  # noqa: ANN001, ANN202
         for pdf in batches:
-            rows = []
-            for x, expected in zip(pdf["features"], pdf["expected"], strict=True):
-                emit = shared.value.emissions(np.stack(list(x)).astype(float))
+            for at in range(0, len(pdf), CASES):
+                some = pdf.iloc[at : at + CASES]
+                emits = [shared.value.emissions(np.stack(list(x)).astype(float)) for x in some["features"]]
+                expected = some["expected"].tolist()
                 for p in points:
                     cfg = S.SearchConfig(shared.value.search.beam, p[2], p[0], p[1], shared.value.search.lm_interpolation, p[3])
-                    rows.append((*p, S.decode(emit, shared.value.trie, shared.value.lm, cfg).text == expected))
-            yield pd.DataFrame(rows, columns=[*GRID, "hit"])
+                    got = S.decode_all(emits, shared.value.trie, shared.value.lm, cfg)
+                    yield pd.DataFrame([(*p, g.text == e) for g, e in zip(got, expected, strict=True)], columns=[*GRID, "hit"])
 
     return ranked(cases.select("features", "expected").mapInPandas(run, "lm_weight double, word_penalty double, max_tokens int, max_word_ends int, hit boolean"), F.col("hit"))

@@ -336,3 +336,18 @@ def test_language_model_is_pruned_to_the_dictionary_and_bounded(spark):
     assert {k: v for k, v in whole.bi.items() if k[0] == "<s>"}.items() <= some.bi.items()
     with pytest.raises(ValueError, match="more than the 5"):
         decoder.language_model(model, {"a"}, most=5)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_utterances_decoded_together_are_those_decoded_alone(seed):
+    """Random emissions with ties, of several lengths, by random limits; with and without silence."""
+    rng = np.random.default_rng(seed)
+    model = {p: K.new_hmm(p, 1, 1, 3) for p in ("a", "k", "i", "sil")}
+    words = {"あ": ["a"], "い": ["i"], "か": ["k", "a"], "き": ["k", "i"], "異": ["i"], "あい": ["a", "i"]} | ({"<sil>": ["sil"]} if seed % 2 else {})
+    trie = S.Trie(words, model)
+    uni = {w: (-1.0 - i / 8, -0.25) for i, w in enumerate(["<s>", "</s>", "あ", "い", "か", "あい"])}
+    lm = S.LanguageModel(2 + seed % 2, uni, {("<s>", "あ"): (-0.5, -0.125), ("あ", "い"): (-0.25, 0.0)}, {("<s>", "あ", "い"): -0.125}, oov=-9.0)
+    emits = [np.round(rng.normal(-2, 2, (frames, 3 * len(trie.models))) * 2) / 2 for frames in [1, 0, 9, 9, 17, 9, 17, 9]]
+    for _ in range(12):
+        cfg = S.SearchConfig(float(rng.choice([3, 12, 200])), int(rng.choice([0, 2, 7, 100])), float(rng.choice([0.5, 1, 4])), float(rng.choice([-2, 0, 1])), float(rng.choice([0, 0.5])), int(rng.choice([0, 1, 2])))
+        assert S.decode_all(emits, trie, lm, cfg) == [S.decode(e, trie, lm, cfg) for e in emits]
